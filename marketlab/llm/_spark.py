@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -53,3 +54,9 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs: it does so once the driver has collected what refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()

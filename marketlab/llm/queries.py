@@ -5,17 +5,75 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marketlab.llm import chats, hamming, minhash, mixing, neighbours, packing, quality, toxicity
 from marketlab.llm._spark import table
 from marketlab.llm.substrings import remove_repeats
 
 
+def op1_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every fiftieth vector, among all vectors, itself included."""
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    found = hamming.top_k(codes, codes.where("id % 50 = 0"), k=10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), "distance")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_hamming": op1_topk_hamming,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
+    "op4_chat_format": op4_chat_format,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_packing": op9_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_hamming": """
+with v as (select vec_id, embedding from embeddings where embedding is not null),
+d as (
+  select q.vec_id as query_id, v.vec_id,
+    cast(list_sum(list_transform(range(1, 65), lambda i: cast(coalesce(q.embedding[i] > 0, false) <> coalesce(v.embedding[i] > 0, false) as int))) as bigint) as distance
+  from v q, v where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d)
+select query_id, rank, vec_id, distance from r where rank <= 10
+""",
+    "op4_chat_format": chats.SQL,
+}
