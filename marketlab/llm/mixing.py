@@ -108,21 +108,22 @@ def min_cost_flow(sizes: Sequence[int], members: Sequence[Sequence[int]], quotas
 
 
 def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[float] = (1, 2, 3), seed: int = 7, id_col: str = "doc_id", most_patterns: int = 100_000) -> DataFrame:
-    """(id_col, size, pattern, source_size, target, taken).
+    """docs with mix_size, mix_source_size, mix_target and mix_copies (int): how often the mix takes the document.
 
-    members: array of the names of a document's sources, sorted, null for the null source. source_size and target: sums over
-    the document's sources. taken: words that the mix takes of the document, a multiple of its size.
-    Weights repeat over the sources in code point order, null last. Sources share all words (a document of several
-    sources counts in each one's size).
+    members: array of the names of a document's sources, null for the null source. mix_source_size and mix_target: sums over
+    the document's sources. Weights repeat over the sources in code point order, null last. Sources share all words (a
+    document of several sources counts in each one's size). Columns of docs must not begin with mix_. No column of docs is
+    shuffled: the plan is broadcast, at most most_patterns rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    u = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << (_BITS * _DEPTH)))
-    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), members.alias("pattern"), size.alias("size")).withColumn("u", u.cast("int")))
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << (_BITS * _DEPTH))).cast("int")
+    marked = docs.withColumns({"mix_pattern": F.coalesce(F.array_sort(F.array_distinct(members)), F.array().cast("array<string>")), "mix_size": size.cast("long"), "mix_u": u})
+    rows = scratch.keep(marked.select(F.col("mix_pattern").alias("pattern"), F.col("mix_size").alias("size"), F.col("mix_u").alias("u")))
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(most_patterns + 1).toPandas()
     if len(sums) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
-    patterns = [tuple(x) if x is not None else () for x in sums["pattern"]]
+    patterns = [tuple(x) for x in sums["pattern"]]
     sizes = [int(x) for x in sums["size"]]
     names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
     at = {s: i for i, s in enumerate(names)}
@@ -134,26 +135,23 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[float]
     goal = targets(own, [weights[i % len(weights)] for i in range(len(names))], sum(sizes))
     flow = min_cost_flow(sizes, [[at[s] for s in p] for p in patterns], goal)
     give = [min(sum(f.values()), float(REPEATS * z)) for f, z in zip(flow, sizes)]
-    base = [int(g // z + 1e-9) if z else 0 for g, z in zip(give, sizes)]
-    rest = [max(0.0, g - b * z) for g, b, z in zip(give, base, sizes)]
-    for i, (r, z) in enumerate(zip(rest, sizes)):
-        if z and r > z * (1 - 1e-9):
-            base[i], rest[i] = base[i] + 1, 0.0
+    base = [int(g / z + 1e-9) if z else 0 for g, z in zip(give, sizes)]
+    rest = [max(0.0, g - b * z) if z else 0.0 for g, b, z in zip(give, base, sizes)]
     cuts = _cuts(rows, scratch, patterns, rest)
+    scratch.drop(rows)
     plan = spark.createDataFrame(
-        [(i, list(p) if p else [], float(sum(own[at[s]] for s in p)), float(sum(goal[at[s]] for s in p)), base[i] if p else 0, cuts[i] if p else 0) for i, p in enumerate(patterns)] or [],
-        "n long, pattern array<string>, source_size double, target double, base int, cut int",
-    )
-    same = F.coalesce(rows["pattern"], F.array().cast("array<string>")).eqNullSafe(plan["pattern"])
-    joined = rows.join(F.broadcast(plan), same)  # at most most_patterns rows
-    return joined.select(
-        F.col("id").alias(id_col),
-        rows["size"],
-        rows["pattern"],
-        F.col("source_size").cast("long").alias("source_size"),
-        "target",
-        (rows["size"] * (F.col("base") + F.when(F.col("u") < F.col("cut"), 1).otherwise(0))).cast("long").alias("taken"),
+        [(list(p), sum(own[at[s]] for s in p), float(sum(goal[at[s]] for s in p)), base[i], cuts[i]) for i, p in enumerate(patterns)],
+        "mix_of array<string>, mix_source_size long, mix_target double, mix_base int, mix_cut int",
     )
+    joined = marked.join(F.broadcast(plan), F.col("mix_pattern") == F.col("mix_of"), "left")
+    copies = F.col("mix_base") + F.when(F.col("mix_u") < F.col("mix_cut"), 1).otherwise(0)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", F.when(F.col("mix_size") > 0, copies).otherwise(0).alias("mix_copies"))
+
+
+def repeat(docs: DataFrame, members: Column, size: Column, **options) -> DataFrame:
+    """The mix itself: each document's row as often as the mix takes it, with the columns of docs."""
+    mixed = mix(docs, members, size, **options)
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
 
 
 def _cuts(rows: DataFrame, scratch: Scratch, patterns: list[tuple], rest: list[float]) -> list[int]:
@@ -167,7 +165,7 @@ def _cuts(rows: DataFrame, scratch: Scratch, patterns: list[tuple], rest: list[f
         shift = _BITS * (_DEPTH - 1 - depth)
         keys = spark.createDataFrame([(i, list(patterns[i]), low[i] >> (shift + _BITS)) for i in live], "n long, p array<string>, head int")
         sums = (
-            rows.join(F.broadcast(keys), F.col("pattern").eqNullSafe(F.col("p")) & (F.shiftright("u", shift + _BITS) == F.col("head")))
+            rows.join(F.broadcast(keys), (F.col("pattern") == F.col("p")) & (F.shiftright("u", shift + _BITS) == F.col("head")))
             .groupBy("n", F.shiftright("u", shift).alias("bucket"))
             .agg(F.sum("size").alias("size"))
             .toPandas()  # at most 256 rows for each pattern

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.llm import chats, hamming, minhash, mixing, neighbours, packing, quality, toxicity
+from marketlab.llm import chats, hamming, minhash, mixing, neighbours, packing, private, quality, toxicity
 from marketlab.llm._spark import table
 from marketlab.llm.substrings import remove_repeats
 
@@ -35,10 +35,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs.select("doc_id", "source", "text"), F.array("source"), mixing.word_count(F.col("text")))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken")
+    )
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_packing": op9_packing,
