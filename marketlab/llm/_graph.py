@@ -26,9 +26,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # large star: neighbours above u link to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.keep(
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = scratch.keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: u and its neighbours below link to the smallest of those
         low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
@@ -40,10 +38,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .distinct()
         )
         # done when every node above has one edge and no node is at both ends
-        ends = new.groupBy("u").agg(F.count("*").alias("n"))
-        tangled = ends.where("n > 1").limit(1).count() or new.join(
-            new.select(F.col("u").alias("x")), F.col("v") == F.col("x"), "left_semi"
-        ).limit(1).count()
+        ends = new.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(
+            new.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("low"))
+        )
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+        tangled = ends.where("up > 1 or up = 1 and low = 1").limit(1).count()
         scratch.drop(e, least, large, low)
         e = new
         if not tangled:

@@ -235,40 +235,46 @@ def near_duplicates(
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        with_a = scratch.keep(pairs).join(a, "a")
+        with_a = pairs.join(a, "a")
         both = with_a.join(b, "b").select("a", "b", "text_a", "text_b")
         return scratch.keep(both.mapInArrow(_verify(words, threshold, idf), "a long, b long"))
 
     def compatible(x: str, y: str):
         return F.least(x, y) >= F.greatest(x, y) * (threshold - 1e-9)
 
-    links = None
-    labelled = members.withColumn("component", F.col("id"))
-    for turn in range(pivots):
+    def unresolved(labelled: DataFrame, turn: int) -> DataFrame:
+        """The buckets that hold several components, each with its pivot of this round."""
         order = F.struct(F.xxhash64("id", "key", F.lit(turn)), "component", "id", "total")
-        pivot = scratch.keep(
+        return scratch.keep(
             labelled.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
             .where("low <> high").select("key", F.col("p.id").alias("b"), F.col("p.component").alias("cb"), F.col("p.total").alias("total_b"))
         )
-        pairs = (
-            labelled.join(pivot, "key").where((F.col("component") != F.col("cb")) & compatible("total", "total_b"))
-            .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        )
+
+    links = comps = tried = None
+    labelled = members.withColumn("component", F.col("id"))
+    # the last round compares what is still open in full
+    for turn in range(pivots + 1):
+        pivot = unresolved(labelled, turn)
+        if not pivot.limit(1).count():
+            break
+        if turn < pivots:
+            met = labelled.join(pivot, "key")
+            here = F.col("component") != F.col("cb")
+        else:
+            rest = scratch.keep(labelled.join(pivot.select("key"), "key", "left_semi"))
+            met = rest.join(rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("total_b")), "key")
+            here = (F.col("component") != F.col("cb")) & (F.col("id") > F.col("b"))
+        pairs = met.where(here & compatible("total", "total_b")).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not pairs.limit(1).count():
+            continue
         new = verified(pairs)
         links = new if links is None else scratch.keep(links.unionByName(new))
         comps = scratch.keep(components(links, scratch))
         labelled = scratch.keep(members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    mixed = scratch.keep(
-        labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    )
-    rest = scratch.keep(labelled.join(mixed, "key", "left_semi"))
-    other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("total_b"))
-    pairs = (
-        rest.join(other, "key").where((F.col("id") > F.col("b")) & (F.col("component") != F.col("cb")) & compatible("total", "total_b"))
-        .select(F.col("id").alias("a"), "b").distinct()
-    )
-    new = verified(pairs)
-    comps = scratch.keep(components(scratch.keep(links.unionByName(new)), scratch))
+    if comps is None:
+        comps = spark.createDataFrame([], "id long, component long")
     of_class = classes.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sha", "copies", F.coalesce("component", "rep").alias("group_id"))
     of_class = scratch.keep(of_class)
     sizes = scratch.keep(of_class.groupBy("group_id").agg(F.sum("copies").alias("group_size")))
