@@ -13,8 +13,11 @@ the rest is evaluated. The least value is below 6 / total weight with probabilit
 Linking. Equal texts are one class. In each band, members of a bucket are verified against one of
 them, the pivot (the least hash, another one in each band). Links give components. A bucket whose members are not all in one component then is
 unresolved: its members of different components are compared with the pivots of further rounds, and
-what is still open after them is compared in full, all pairs of different components with compatible total weights. So no
-pair that shares a bucket is left out, and groups of many copies cost one comparison for each member.
+what is still open after them is compared in full, all pairs of different components. Only pairs are left out that
+cannot be links by their weights: with own(x) the weight of the shingles of x that no other text of an unresolved bucket has,
+two texts share at most min(W(x) - own(x), W(y) - own(y)), which must be t / (1 + t) of W(x) + W(y) or more for a similarity of t. So no
+link that shares a bucket is lost, groups of many near copies cost about one comparison for each member, and texts of such
+a group that were edited too much to be near any other are told by what is their own.
 
 Cases: a null text links with nothing; equal texts (also empty or without words) are copies; texts of fewer words than a shingle have
 one shingle of all their words; tf counts repeats; an empty table gives an empty result; other columns are ignored. Ids are unique longs.
@@ -198,6 +201,24 @@ def _verify(words: int, threshold: float, idf):
     return run
 
 
+def _weighted(words: int, idf):
+    """(shingle, id, weight) of texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            for lo, hi in slices(batch.column(1), 1 << 20):
+                w = Words(batch.column(1).slice(lo, hi - lo))
+                h = w.hashes()
+                got = [shingles(h[w.first[k] : w.first[k + 1]], words) for k in range(hi - lo)]
+                s, tf = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+                ids = np.repeat(names[lo:hi], [len(g[0]) for g in got])
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids), pa.array(tf * table[bucket_of(s)])], ["shingle", "id", "weight"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -230,7 +251,8 @@ def near_duplicates(
     crowd = scratch.keep(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = scratch.keep(members.join(crowd, "key", "left_semi"))
     needed = members.select("id").distinct()
-    texts = scratch.keep(src.join(needed, "id", "left_semi"))
+    # a merge join at every size: whether the ids happen to fit a broadcast must not decide what is shuffled
+    texts = scratch.keep(src.hint("merge").join(needed, "id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -239,22 +261,20 @@ def near_duplicates(
         both = with_a.join(b, "b").select("a", "b", "text_a", "text_b")
         return scratch.keep(both.mapInArrow(_verify(words, threshold, idf), "a long, b long"))
 
-    def compatible(x: str, y: str):
-        return F.least(x, y) >= F.greatest(x, y) * (threshold - 1e-9)
+    def possible(x: str, own_x: str, y: str, own_y: str):
+        """Whether two texts of these total and own weights can be similar enough, up to rounding."""
+        x, own_x, y, own_y = map(F.col, (x, own_x, y, own_y))
+        return F.least(x - own_x, y - own_y) >= (x + y) * (threshold / (1 + threshold) - 1e-9)
 
-    def unresolved(labelled: DataFrame, turn: int) -> DataFrame:
-        """The buckets that hold several components, each with its pivot of this round."""
-        order = F.struct(F.xxhash64("id", "key", F.lit(turn)), "component", "id", "total")
-        return scratch.keep(
-            labelled.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high").select("key", F.col("p.id").alias("b"), F.col("p.component").alias("cb"), F.col("p.total").alias("total_b"))
-        )
-
-    links = comps = tried = None
-    labelled = members.withColumn("component", F.col("id"))
+    links = comps = tried = own = None
+    labelled = members.withColumns({"component": F.col("id"), "own": F.lit(0.0)})
     # the last round compares what is still open in full
     for turn in range(pivots + 1):
-        pivot = unresolved(labelled, turn)
+        order = F.struct(F.xxhash64("id", "key", F.lit(turn)), "component", "id", "total", "own")
+        pivot = scratch.keep(
+            labelled.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
+            .where("low <> high").select("key", F.col("p.id").alias("b"), F.col("p.component").alias("cb"), F.col("p.total").alias("total_b"), F.col("p.own").alias("own_b"))
+        )
         if not pivot.limit(1).count():
             break
         if turn < pivots:
@@ -262,17 +282,24 @@ def near_duplicates(
             here = F.col("component") != F.col("cb")
         else:
             rest = scratch.keep(labelled.join(pivot.select("key"), "key", "left_semi"))
-            met = rest.join(rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("total_b")), "key")
+            met = rest.join(rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("total_b"), F.col("own").alias("own_b")), "key")
             here = (F.col("component") != F.col("cb")) & (F.col("id") > F.col("b"))
-        pairs = met.where(here & compatible("total", "total_b")).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        pairs = met.where(here & possible("total", "own", "total_b", "own_b")).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if not pairs.limit(1).count():
-            continue
-        new = verified(pairs)
-        links = new if links is None else scratch.keep(links.unionByName(new))
-        comps = scratch.keep(components(links, scratch))
-        labelled = scratch.keep(members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        if pairs.limit(1).count():
+            new = verified(pairs)
+            links = new if links is None else scratch.keep(links.unionByName(new))
+            comps = scratch.keep(components(links, scratch))
+            labelled = labelled.drop("component").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # only buckets that are still open, and their texts' own weights, go on
+        mixed = scratch.keep(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
+        labelled = scratch.keep(labelled.join(mixed, "key", "left_semi").select("key", "id", "total", "component", "own"))
+        if own is None:
+            parts = texts.join(labelled.select("id").distinct(), "id", "left_semi").mapInArrow(_weighted(words, idf), "shingle long, id long, weight double")
+            single = parts.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1")
+            own = scratch.keep(single.groupBy("id").agg(F.sum("weight").alias("own")))
+            labelled = scratch.keep(labelled.drop("own").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0.0))))
     if comps is None:
         comps = spark.createDataFrame([], "id long, component long")
     of_class = classes.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sha", "copies", F.coalesce("component", "rep").alias("group_id"))
