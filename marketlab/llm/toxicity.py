@@ -6,7 +6,7 @@ insult with gaps, inserted letters or another ending stays near its plain form.
 kernel into a few features, on which a linear machine is trained.
 
 A sentence is read in windows: each word, cut to overlapping windows of ``WINDOW`` letters if longer, and each run of single letters
-as one string with its gaps ("i d i o t"). Its score is that of its worst window, and a document's that of its
+as one string with its gaps ("i d i o t"), as they are and with the letters alone. Its score is that of its worst window, and a document's that of its
 worst sentence, through a logistic calibration. Training sentences carry their document's label: in a sentence of a clean
 document every window is negative; of a toxic document at least one window is positive, and
 which one is settled in turns with the machine (multiple-instance learning).
@@ -38,7 +38,7 @@ from marketlab.llm._training import labelled, remainder
 from marketlab.llm._words import Words, slices
 
 ORDER, DECAY, WINDOW, STRIDE = 4, 0.6, 14, 7
-LANDMARKS = 48
+LANDMARKS = 96
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…-–—"
 _KEEP = 1_000_000
 
@@ -193,11 +193,18 @@ class Machine:
 
 
 def windows(token: str) -> list[str]:
-    """The windows of one word or run of single letters; its start and end count as letters."""
-    token = f"^{token.strip(_EDGE)}$"
-    if len(token) <= WINDOW:
-        return [token]
-    return [token[i : i + WINDOW] for i in range(0, len(token) - STRIDE, STRIDE)]
+    """The windows of one word or run of single letters, as it is and without what stands between its letters; its start and
+    end count as letters."""
+    out = []
+    plain = token.strip(_EDGE)
+    joined = "".join(c for c in plain if c.isalnum())
+    for form in (plain, joined) if joined != plain and len(joined) >= 3 else (plain,):
+        form = f"^{form}$"
+        if len(form) <= WINDOW:
+            out.append(form)
+        else:
+            out += [form[i : i + WINDOW] for i in range(0, len(form) - STRIDE, STRIDE)]
+    return out
 
 
 def strings(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -229,7 +236,7 @@ def strings(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return found, np.concatenate([codes, np.array(runs, np.int64)]), np.concatenate([text, np.array(owner, np.int64)])
 
 
-def _svm(f: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def _svm(f: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 600) -> tuple[np.ndarray, float]:
     """Squared hinge loss with an L2 penalty, by accelerated gradient."""
     x = np.concatenate([f, np.ones((len(f), 1))], axis=1).astype(np.float64)
     w = weight / weight.sum() * c
