@@ -57,7 +57,12 @@ def bucket_of(s: np.ndarray) -> np.ndarray:
 
 
 def idf_table(counts: np.ndarray, documents: int) -> np.ndarray:
-    return (np.log((documents + 1.0) / (counts + 1.0)) + 1.0).astype(np.float32)
+    """1 + ln((N + 1) / (n + 1)) / ln(N + 1), from 1 for what every document has to 2 for what none has.
+
+    Normalized so that the weights of a group of thousands of copies, whose shared shingles are common, stay comparable
+    with those of their edits.
+    """
+    return (1.0 + np.log((documents + 1.0) / (counts + 1.0)) / np.log(documents + 2.0)).astype(np.float32)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -225,7 +230,7 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 24,
     rows: int = 5,
-    pivots: int = 3,
+    pivots: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
