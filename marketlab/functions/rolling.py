@@ -29,3 +29,10 @@ def rolling(agg: Callable[[Column], Column], c: Column, w: WindowSpec, n: int, l
 def forward_fill(c: Column, w: WindowSpec, limit: int) -> Column:
     """The last value that is not null, at most ``limit`` rows back."""
     return F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0))
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate over rows where both are known; null, not an error, if either is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))

@@ -47,12 +47,12 @@ def base_columns(bars: DataFrame) -> DataFrame:
             "x_root": flow * F.sqrt(F.greatest("volume", F.lit(0.0))),
             "x_abs": F.abs("x_ret"),
             "x_value": F.col("close") * F.col("volume"),
-            "x_range": F.pow(F.log(F.col("high") / F.col("low")), 2) / F.col("x_dt_ok"),
+            "x_range": F.pow(F.log(F.try_divide("high", "low")), 2) / F.col("x_dt_ok"),
         }
     )
     beta = F.col("x_range") + F.lag("x_range").over(W())
     both = F.col("x_dt") + F.lag("x_dt").over(W())
-    wide = F.log(F.greatest("high", F.lag("high").over(W())) / F.least("low", F.lag("low").over(W())))
+    wide = F.log(F.try_divide(F.greatest("high", F.lag("high").over(W())), F.least("low", F.lag("low").over(W()))))
     gamma = F.when(F.lag("high").over(W()).isNotNull() & (both > 0), F.pow(wide, 2) / both)
     denom = 3 - 2 * 2**0.5
     b = b.withColumns({"x_beta": beta, "x_gamma": gamma})
@@ -97,10 +97,11 @@ def amihud(n: int) -> Column:
 def quantile_bin(c: str, n: int, bins: int = BINS) -> Column:
     """Rank of the value among those of its frame, in bins from 0; null where the frame is short, the value null or under two values known."""
     f = frame(W(), n)
-    values = F.collect_list(c).over(f)
-    rank = F.size(F.filter(values, lambda v: v < F.col(c)))
+    # to 12 digits, so that ties don't hang on the last bit of a logarithm
+    values = F.collect_list(F.round(c, 12)).over(f)
+    rank = F.size(F.filter(values, lambda v: v < F.round(c, 12)))
     known, rows = F.count(c).over(f), F.count(F.lit(1)).over(f)
-    return F.when((rows == n) & F.col(c).isNotNull() & (known >= 2), F.least(F.floor(rank * bins / known), F.lit(bins - 1)))
+    return F.when((rows == n) & F.col(c).isNotNull() & (known >= 2), F.least(F.floor(F.try_divide(rank * bins, known)), F.lit(bins - 1)))
 
 
 def shannon(bin_col: str, n: int, bins: int = BINS) -> Column:
@@ -110,7 +111,7 @@ def shannon(bin_col: str, n: int, bins: int = BINS) -> Column:
     rows = F.count(F.lit(1)).over(f)
     terms = []
     for k in range(bins):
-        p = F.count(F.when(F.col(bin_col) == k, 1)).over(f) / known
+        p = F.try_divide(F.count(F.when(F.col(bin_col) == k, 1)).over(f), known)
         terms.append(F.when(p > 0, -p * F.log2(p)).otherwise(0.0))
     return F.when((rows == n) & (known > 0), reduce(lambda a, b: a + b, terms))
 

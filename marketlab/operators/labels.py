@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.functions.kernels import cusum, ewm_std
-from marketlab.functions.rolling import by_asset, rolling
+from marketlab.functions.rolling import by_asset, correlation, rolling
 from marketlab.operators.bars import log_returns
 
 #: Detectors by family: bars -> events (asset, seq, ts_us, side).
@@ -145,7 +145,7 @@ def triple_barrier(bars: DataFrame, events: DataFrame, vol_span: int = 100, prof
         F.coalesce("touch.price", "end.b_close").alias("exit_price"),
         F.when(touched & ~F.col("touch.both") & (F.col("touch.hit") == F.when(F.col("side") == "long", "upper").otherwise("lower")), 1).otherwise(0).alias("label"),
     )
-    ret = (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price")
+    ret = F.try_divide(F.col("exit_price") - F.col("entry_price"), "entry_price")
     return out.withColumn("return_pct", ret).withColumn("signed_return", F.when(F.col("side") == "long", ret).otherwise(-ret))
 
 
@@ -157,7 +157,7 @@ def label_balance(labels: DataFrame) -> DataFrame:
 def max_correlation(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(max_abs_corr): the largest |correlation| of a signal (i, value) with existing ones (name, i, value); 0 if none has one."""
     pairs = existing.join(new.withColumnRenamed("value", "x"), "i")
-    per = pairs.groupBy("name").agg(F.corr("x", "value").alias("r"), F.count("*").alias("n")).where("n >= 2 and not isnan(r)")
+    per = pairs.groupBy("name").agg(correlation("x", "value").alias("r"), F.count("*").alias("n")).where("n >= 2 and r is not null and not isnan(r)")
     return per.agg(F.coalesce(F.max(F.abs("r")), F.lit(0.0)).alias("max_abs_corr"))
 
 

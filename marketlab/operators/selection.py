@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlab.functions.rolling import correlation
 from marketlab.functions.stats import t_sf
 from marketlab.functions.trees import Forest
 
@@ -23,7 +24,7 @@ def correlation_distance(df: DataFrame, columns: list[str], min_std: float = 1e-
     """
     spread = [F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]
     pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(*spread, *[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
+    row = df.agg(*spread, *[correlation(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
     ok = lambda i: F.coalesce(F.col(f"s{i}") > min_std, F.lit(False))
     items = [F.struct(F.lit(columns[i]).alias("fi"), F.lit(columns[j]).alias("fj"), F.when(ok(i) & ok(j), F.least(F.greatest(F.col(f"r{i}_{j}"), F.lit(-1.0)), F.lit(1.0))).otherwise(0.0).alias("rho")) for i, j in pairs]
     return row.select(F.explode(F.array(*items)).alias("e")).select("e.fi", "e.fj", "e.rho", F.sqrt(0.5 * (1 - F.col("e.rho"))).alias("d"))

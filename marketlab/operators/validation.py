@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from marketlab.functions import stats
+from marketlab.functions.rolling import correlation
 
 
 def average_rank(c: str, *keys: str) -> Column:
@@ -144,7 +145,7 @@ def risk_margin(signals: DataFrame, *order: Column | str, equity: float, c95: fl
 def spearman(pairs: DataFrame, *keys: str) -> DataFrame:
     """(keys, rho) of columns a and b; 0 if either is constant."""
     r = pairs.select(*keys, average_rank("a", *keys).alias("ra"), average_rank("b", *keys).alias("rb"))
-    rho = F.corr("ra", "rb")
+    rho = correlation("ra", "rb")
     return r.groupBy(*keys).agg(F.coalesce(F.nanvl(rho, F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
@@ -164,9 +165,9 @@ def chow(series: DataFrame, breakpoint_frac: float = 0.5) -> DataFrame:
     s = s.join(n, "asset").select("asset", "n", "bp", "row", (F.col("value") - F.col("level")).alias("x"), (F.col("next") - F.col("value")).alias("d")).where("d is not null")
     # a pair of the first part ends within it
     first, second = F.col("row") < F.col("bp"), F.col("row") > F.col("bp")
-    ssr = lambda ok: (lambda y, x: F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.regr_sxx(y, x))(F.when(ok, F.col("d")), F.when(ok, F.col("x")))
+    ssr = lambda ok: (lambda y, x: F.regr_syy(y, x) - F.coalesce(F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x)), F.lit(0.0)))(F.when(ok, F.col("d")), F.when(ok, F.col("x")))
     a = s.groupBy("asset", "n", F.col("bp").alias("breakpoint")).agg(ssr(F.lit(True)).alias("pooled"), (ssr(first) + ssr(second)).alias("split"))
-    return a.select("asset", "n", "breakpoint", ((F.col("pooled") - F.col("split")) / 2 / (F.col("split") / (F.col("n") - 4))).alias("f_stat"))
+    return a.select("asset", "n", "breakpoint", F.try_divide((F.col("pooled") - F.col("split")) / 2, F.try_divide("split", F.col("n") - 4)).alias("f_stat"))
 
 
 def chow_test(series: DataFrame, breakpoint_frac: float = 0.5, alpha: float = 0.05) -> DataFrame:

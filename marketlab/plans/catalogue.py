@@ -264,7 +264,7 @@ feature_query("kyle", "case when count(*) over w = 20 and var_pop(flow) over w >
 feature_query("amihud", "case when count(ar) over w = 20 and var_pop(val) over w >= 1e-12 then covar_pop(ar, val) over w / var_pop(val) over w end", 12)
 
 BINS = RET + """,
-q0 as (select asset, seq, ret, list(ret) over w as v, count(*) over w as k, count(ret) over w as known from r window w as (partition by asset order by seq rows between 49 preceding and current row)),
+q0 as (select asset, seq, round(ret, 12) as ret, list(round(ret, 12)) over w as v, count(*) over w as k, count(ret) over w as known from r window w as (partition by asset order by seq rows between 49 preceding and current row)),
 q as (select asset, seq, case when k = 50 and ret is not null and known >= 2 then cast(least(floor(len(list_filter(v, lambda x: x < ret)) * 5 / known), 4) as bigint) end as bin from q0)"""
 
 

@@ -195,7 +195,7 @@ def test_spearman_and_chow(spark):
     r = np.random.default_rng(5)
     still = r.standard_normal(200)
     broken = np.concatenate([still[:100], 50 + still[100:].cumsum()])
-    f = lambda y: V.chow_test(bars_of(spark, y.tolist()).select("asset", "seq", F.col("close").alias("value"))).first()
+    f = lambda y: V.chow_test(alpha=0.001, series=bars_of(spark, y.tolist()).select("asset", "seq", F.col("close").alias("value"))).first()
     assert not f(still).is_break and f(broken).is_break
 
 
