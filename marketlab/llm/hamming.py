@@ -1,10 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes of ``bits`` bits are cut into m segments, m about bits / log2(number of distinct codes).
+Codes of ``bits`` bits are cut into m segments, m the whole number from bits / log2(number of distinct codes) up.
 Round r probes, for each query that is still open, every value at Hamming distance r of each of
 its segments. A code that differs from the query in fewer than m * (r + 1) bits differs in at
 most r bits in some segment, so after round r all codes nearer than that have been met and verified. A query closes
-when its kth verified distance is covered in this sense; radii grow for the others only.
+when its kth verified distance is covered in this sense; radii grow for the others only. From the first round on that has k, the join
+itself passes only codes at most as far as the query's kth so far.
 
 Equal codes are one entry of the index, with their k smallest ids: no more of them can be among
 k results. Limits per key are taken before the shuffle (row_number below a constant).
@@ -56,10 +57,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
     members = scratch.keep(index.select("code", "id").withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k))
     codes = scratch.keep(members.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     distinct = max(2, codes.count())
-    cuts = _cuts(bits, max(1, round(bits / math.log2(max(4, distinct)))))
+    cuts = _cuts(bits, max(1, math.ceil(bits / math.log2(max(4, distinct)))))
     segment = lambda: F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), _part(F.col("code"), *c).alias("val")) for j, c in enumerate(cuts)]))
     entries = scratch.keep(codes.select("code", "least", "n", segment().alias("x")).select("x.seg", "x.val", "code", "least", "n"))
-    open_ = scratch.keep(queries.select("code").distinct())
+    open_ = scratch.keep(queries.select("code").distinct().withColumn("bound", F.lit(bits)))
     found, done = None, []
     nearest = Window.partitionBy("q").orderBy("distance", "least")
     for radius in range(max(w for _, w in cuts) + 1):
@@ -70,19 +71,22 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
         for flips, segs in masks.values():
             if not flips:
                 continue
-            one = open_.select(F.col("code").alias("q"), F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), _part(F.col("code"), *cuts[j]).alias("v")) for j in segs])).alias("x"))
-            one = one.select("q", "x.seg", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda m: F.col("x.v").bitwiseXOR(m))).alias("val"))
+            one = open_.select(F.col("code").alias("q"), "bound", F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), _part(F.col("code"), *cuts[j]).alias("v")) for j in segs])).alias("x"))
+            one = one.select("q", "bound", "x.seg", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda m: F.col("x.v").bitwiseXOR(m))).alias("val"))
             probes = one if probes is None else probes.unionByName(one)
         probes = scratch.keep(probes)
-        met = probes.join(entries, ["seg", "val"]).select("q", "code", "least", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        p, e = probes.alias("p"), entries.alias("e")
+        distance = F.bit_count(F.col("p.q").bitwiseXOR(F.col("e.code")))
+        near = (F.col("p.seg") == F.col("e.seg")) & (F.col("p.val") == F.col("e.val")) & (distance <= F.col("p.bound"))
+        met = p.join(e, near).select("p.q", "e.code", "e.least", "e.n", distance.alias("distance"))
         if found is not None:
             met = met.unionByName(found.join(open_.select(F.col("code").alias("q")), "q", "left_semi"))
         best = scratch.keep(met.distinct().withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).drop("nth"))
         covered = len(cuts) * (radius + 1) - 1
         seen = best.withColumn("ids", F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
-        closed = seen.where((F.col("ids") >= k) & (F.col("distance") <= covered)).select("q").distinct()
-        closed = scratch.keep(closed)
-        still = scratch.keep(open_.join(closed.select(F.col("q").alias("code")), "code", "left_anti"))
+        kth = scratch.keep(seen.where(F.col("ids") >= k).groupBy(F.col("q").alias("code")).agg(F.min("distance").alias("kth")))
+        closed = kth.where(F.col("kth") <= covered).select(F.col("code").alias("q"))
+        still = scratch.keep(open_.join(kth, "code", "left").where(F.col("kth").isNull() | (F.col("kth") > covered)).select("code", F.coalesce("kth", "bound").cast("int").alias("bound")))
         done.append(best.join(closed, "q", "left_semi"))
         scratch.drop(probes)
         found, open_ = best, still
