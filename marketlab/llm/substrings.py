@@ -140,7 +140,10 @@ def _values(column: pa.Array, k: int) -> np.ndarray:
 
 
 def _next(window: int, level: int):
-    """Values of the next level for texts that still have candidates. copied: the whole text occurs elsewhere."""
+    """Values of the next level for texts that still have candidates; at the last level one row for each window and its place.
+
+    copied: the whole text occurs elsewhere, so all of its windows do.
+    """
     last = level == len(levels(window)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,76 +153,66 @@ def _next(window: int, level: int):
                 words = Words(part.column(1))
                 h = words.hashes()
                 g = words.hashes(1) if last else None
-                first, second, many, ids = [], [], [], []
+                ids, first, second, place, many = [], [], [], [], []
                 for k in range(part.num_rows):
                     a, b = int(words.first[k]), int(words.first[k + 1])
                     doc = _Doc(h[a:b], g[a:b] if last else None, window)
                     chosen = _candidates(doc, [_values(part.column(3 + i), k) for i in range(level)])
                     copied = part.column(2)[k].as_py()
                     if last:
-                        v = doc.whole()[chosen]
-                        u, n = np.unique(v, axis=0, return_counts=True)
-                        first.append(u[:, 0])
-                        second.append(u[:, 1])
-                        many.append((n > 1) | copied)
+                        at = np.flatnonzero(chosen)
+                        pairs = doc.whole()[at]
+                        first.append(pairs[:, 0])
+                        second.append(pairs[:, 1])
+                        place.append(at)
+                        many.append(np.full(len(at), copied))
                     else:
                         u, m = doc.places(level, chosen)
                         first.append(u)
                         second.append(np.zeros(len(u), np.uint64))
+                        place.append(np.zeros(len(u), np.int32))
                         many.append(m | copied)
                     ids.append(np.full(len(first[-1]), part.column(0)[k].as_py(), np.int64))
                 cat = lambda x, kind: np.concatenate(x).astype(kind, copy=False) if x else np.zeros(0, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cat(ids, np.int64)), pa.array(_signed(cat(first, np.uint64))), pa.array(_signed(cat(second, np.uint64))), pa.array(cat(many, bool))],
-                    ["id", "v", "w", "many"],
+                    [pa.array(cat(ids, np.int64)), pa.array(_signed(cat(first, np.uint64))), pa.array(_signed(cat(second, np.uint64))), pa.array(cat(place, np.int32)), pa.array(cat(many, bool))],
+                    ["id", "v", "w", "place", "many"],
                 )
 
     return run
 
 
 def _last(window: int):
-    """Remove each word covered by a repeated window."""
-    n_levels = len(levels(window))
+    """Remove each word covered by a repeated window; columns id, text, places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 words = Words(part.column(1))
-                h, g, data = words.hashes(), words.hashes(1), words.data.tobytes()
+                data = words.data.tobytes()
                 removed, sha, kept = [], [], []
                 for k in range(part.num_rows):
                     a, b = int(words.first[k]), int(words.first[k + 1])
-                    doc = _Doc(h[a:b], g[a:b], window)
-                    chosen = _candidates(doc, [_values(part.column(3 + i), k) for i in range(n_levels - 1)])
-                    pairs = doc.whole()
-                    hits = {*zip(_values(part.column(2 + n_levels), k).tolist(), _values(part.column(3 + n_levels), k).tolist())}
-                    edge = np.zeros(b - a + 1, np.int32)
-                    for s in np.flatnonzero(chosen):
-                        if (int(pairs[s, 0]), int(pairs[s, 1])) in hits:
-                            edge[s] += 1
-                            edge[s + window] -= 1
+                    edge = np.zeros(b - a + 1, np.int64)
+                    at = part.column(2)[k].values.to_numpy()
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     removed.append(int((~keep).sum()))
                     sha.append(_digest(words, data, a, b, keep))
-                    at = np.flatnonzero(keep) + a
-                    kept.append(b" ".join([data[words.starts[i] : words.ends[i]] for i in at]).decode("utf-8"))
+                    kept.append(b" ".join([data[words.starts[i] : words.ends[i]] for i in np.flatnonzero(keep) + a]).decode("utf-8"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)], ["id", "n_removed", "sha", "kept"]
+                    [part.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["id", "n_removed", "sha", "kept"]
                 )
 
     return run
 
 
-def _repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """The rows (id, keys) whose keys occur at two places or more."""
-    n = scratch.keep(
-        rows.groupBy(*keys)
-        .agg((F.count("*") + F.sum(F.col("many").cast("int"))).alias("n"))
-        .where("n > 1")
-        .select(*keys)
-    )
-    return rows.join(n, keys, "left_semi"), [n]
+def _repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """The keys that occur at two places or more."""
+    n = rows.groupBy(*keys).agg((F.count("*") + F.sum(F.col("many").cast("int"))).alias("n"))
+    return scratch.keep(n.where("n > 1").select(*keys))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,40 +226,43 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     scratch = Scratch(spark, "substrings")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = scratch.keep(src.mapInArrow(_first(window), "id long, n_words long, sha string, values array<long>, many array<boolean>"))
+    heads = base.select("id", "n_words", "sha")
     copies = scratch.keep(
-        base.where(F.col("n_words") >= window)
+        heads.where(F.col("n_words") >= window)
         .groupBy("sha", "n_words")
         .agg(F.count("*").alias("copies"), F.min("id").alias("first"))
         .where("copies > 1")
     )
     marked = scratch.keep(
-        base.join(copies, ["sha", "n_words"], "left").select(
-            "id", "n_words", "sha", "values", "many", F.col("copies").isNotNull().alias("copied"), F.coalesce("first", "id").alias("first")
-        )
+        heads.join(copies, ["sha", "n_words"], "left").select("id", "n_words", "sha", F.col("copies").isNotNull().alias("copied"), F.coalesce("first", "id").alias("first"))
     )
+    rows = base.select("id", F.explode(F.arrays_zip("values", "many")).alias("x")).select("id", F.col("x.values").alias("v"), F.col("x.many").alias("many"))
+    known = _repeated(rows, ["v"], scratch)
+    alive = rows.join(known, "v", "left_semi").groupBy("id").agg(F.collect_list("v").alias("alive0"))
+    alive = scratch.keep(alive.join(marked.where("id = first").select("id", "copied"), "id"))
+    scratch.drop(base, known)
+    state = scratch.keep(src.join(alive, "id").select("id", "text", "copied", "alive0"))
+    scratch.drop(alive)
     steps = levels(window)
-    rows = marked.where("id = first").select(
-        "id", F.explode(F.arrays_zip("values", "many")).alias("x"), "copied"
-    ).select("id", F.col("x.values").alias("v"), (F.col("x.many") | F.col("copied")).alias("many"))
-    alive, counts = _repeated(rows, ["v"], scratch)
-    state = scratch.keep(
-        src.join(
-            alive.groupBy("id").agg(F.collect_list("v").alias("alive0")).join(marked.select("id", "copied"), "id"), "id"
-        ).select("id", "text", "copied", "alive0")
-    )
     for level in range(1, len(steps)):
         last = level == len(steps) - 1
-        rows = scratch.keep(state.mapInArrow(_next(window, level), "id long, v long, w long, many boolean"))
+        rows = scratch.keep(state.mapInArrow(_next(window, level), "id long, v long, w long, place int, many boolean"))
         keys = ["v", "w"] if last else ["v"]
-        alive, more = _repeated(rows, keys, scratch)
-        found = alive.groupBy("id").agg(F.collect_list(F.struct("v", "w")).alias("x"))
-        lists = [F.col("x.v").alias(f"alive{level}"), *([F.col("x.w").alias("other")] if last else [])]
-        newer = scratch.keep(state.join(found, "id").select(*state.columns, *lists))
-        scratch.drop(state, rows, *more)
+        known = _repeated(rows, keys, scratch)
+        # copies are removed whole, so at the last level they only count for others
+        back = rows.where("not many") if last else rows
+        value = F.collect_list("place").alias("places") if last else F.collect_list("v").alias(f"alive{level}")
+        found = scratch.keep(back.join(known, keys, "left_semi").groupBy("id").agg(value))
+        scratch.drop(rows, known)
+        if last:
+            # what is left of the state is the text
+            newer = scratch.keep(state.select("id", "text").join(found, "id").select("id", "text", "places"))
+        else:
+            newer = scratch.keep(state.join(found, "id").select(*state.columns, f"alive{level}"))
+        scratch.drop(state, found)
         state = newer
-    done = scratch.keep(
-        state.where("not copied").mapInArrow(_last(window), "id long, n_removed long, sha string, kept string")
-    )
+    done = scratch.keep(state.mapInArrow(_last(window), "id long, n_removed long, sha string, kept string"))
+    scratch.drop(state)
     nothing = hashlib.sha256(b"").hexdigest()
     return (
         marked.select("id", "n_words", F.col("sha").alias("whole"), "copied")
