@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Used only where the session names no spark.checkpoint.dir (tests, a single machine).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/marketlab"
 
@@ -44,7 +45,13 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        # the written table is all that is read later, so the job's shuffle files can go when it ends
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
