@@ -159,6 +159,37 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def bridged(seed=13, dim=64):
+    """Two clusters of 40 whose members have ten nearer ones of their own, and links between them; and a third, far from both."""
+    r = np.random.default_rng(seed)
+    a, b, c = np.linalg.qr(r.standard_normal((dim, 3)))[0].T
+    centres = [a, 0.905 * a + (1 - 0.905**2) ** 0.5 * b, c]
+    x = np.concatenate([m + 0.016 * r.standard_normal((40, dim)) for m in centres])
+    return x[r.permutation(len(x))]
+
+
+def test_neighbours_across_two_dense_clusters(spark):
+    x = bridged()
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = m @ m.T
+    np.fill_diagonal(sims, -2)
+    hit = sims >= 0.9
+    label = list(range(len(x)))
+    for a, b in zip(*np.nonzero(np.triu(hit))):
+        lo, hi = sorted((label[a], label[b]))
+        label = [lo if v == hi else v for v in label]
+    # no list of the ten nearest has a link to the other cluster
+    near = sims >= np.sort(sims, axis=1)[:, -10:][:, :1]
+    parts = list(range(len(x)))
+    for a, b in zip(*np.nonzero(near & hit)):
+        lo, hi = sorted((parts[a], parts[b]))
+        parts = [lo if v == hi else v for v in parts]
+    assert len(set(label)) == 2 and len(set(parts)) == 3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in neighbours.near_duplicates(df).collect()}
+    assert got == {k: (int(hit[k].sum()), label[k], label[k] == k) for k in range(len(x))}
+
+
 def test_chats_equal_their_sql(spark):
     rows = []
     for conv, said in enumerate([["a", "b"], ["a", "b", "c"], ["a", "b", "c"], ["x"], ["a"], ["y", None], ["y"], ["", "b"], ["9:ab"], ["ab"]]):
