@@ -1,8 +1,9 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are runs of ``words`` words. A shingle weighs tf * idf, the idf of its bucket in a
-table of 2**18 counts of documents: hashed features, as in Spark's HashingTF and IDF, so the table
-that is broadcast has a fixed size at any scale, and it counts every document.
+Shingles are runs of ``words`` words. A shingle weighs tf * idf, by the number of documents that have that
+shingle. Texts are cut in slices; each slice sends its distinct shingles, with its own counts, to ranges of their hashes, where they are
+added, and gets back those that more than one document has: what is absent has one. Nothing of this is broadcast,
+and a shingle of every document is sent once for each slice.
 Each text gets ``bands * rows`` samples of improved consistent weighted sampling (Ioffe, 2010), grouped in bands.
 
 Sampling is exact but does not evaluate every shingle. With r, c ~ Gamma(2, 1) and y in
@@ -26,12 +27,14 @@ one shingle of all their words; tf counts repeats; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ BUCKETS = 1 << 18
 SKETCH = 1024
 _DRAWS = 1 << 20
 _CHUNK = 2048
+_SLICE = 1 << 22  # bytes of texts whose shingles are counted together
+_RANGE = 1 << 24  # bytes of texts for each range of hashes and each task
 
 
 def shingles(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +59,7 @@ def shingles(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return u, n.astype(np.float64)
 
 
+# of hashed counts, which near_duplicates no longer uses
 def bucket_of(s: np.ndarray) -> np.ndarray:
     return (s >> U(46)).astype(np.int64)
 
@@ -135,60 +141,138 @@ def sample(elements: np.ndarray, weights: np.ndarray, salts: np.ndarray) -> np.n
     return out
 
 
-def _document_counts(words: int):
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (id, text) with the number of their slice."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for lo, hi in slices(batch.column(1), _SLICE):
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, number)), part.column(0), part.column(1)], ["slice", "id", "text"])
+            number += 1
+
+
+def _slice_counts(words: int, ranges: int):
+    """(range, slice, shingles, n) of texts (slice, id, text): how many texts of a slice have each of its shingles, as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                w = Words(batch.column(0).slice(lo, hi - lo))
+            numbers = batch.column(0).to_numpy()
+            # a slice may come in several batches: their counts are added like those of others
+            for number in np.unique(numbers):
+                texts = batch.column(2).take(pa.array(np.flatnonzero(numbers == number)))
+                w = Words(texts)
                 h = w.hashes()
-                for k in range(hi - lo):
-                    s, _ = shingles(h[w.first[k] : w.first[k + 1]], words)
-                    counts[np.unique(bucket_of(s))] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
+                every = [shingles(h[w.first[k] : w.first[k + 1]], words)[0] for k in range(len(texts))]
+                s, n = np.unique(np.concatenate(every), return_counts=True)
+                # s is sorted, so ranges of the upper 32 bits are runs of it
+                of = ((s >> U(32)) * U(ranges) >> U(32)).astype(np.int32)
+                edge = np.flatnonzero(np.diff(of, prepend=-1))
+                stop = np.append(edge[1:], len(s))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(of[edge]), pa.array(np.full(len(edge), number)),
+                        pa.array([s[i:j].tobytes() for i, j in zip(edge, stop)], pa.binary()),
+                        pa.array([n[i:j].astype(np.int32).tobytes() for i, j in zip(edge, stop)], pa.binary()),
+                    ],
+                    ["range", "slice", "shingles", "n"],
+                )
 
     return run
 
 
-def _bands(words: int, bands: int, rows: int, idf):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, salts = idf.value, _salts(bands * rows)
-        for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                w = Words(batch.column(1).slice(lo, hi - lo))
-                h = w.hashes()
-                ids, keys, totals = [], [], []
-                names = batch.column(0).slice(lo, hi - lo).to_numpy()
-                for k in range(hi - lo):
-                    s, tf = shingles(h[w.first[k] : w.first[k + 1]], words)
-                    if not len(s):
-                        continue
-                    weights = tf * table[bucket_of(s)]
-                    value = sample(s, weights, salts).reshape(bands, rows)
-                    key = np.arange(bands, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
-                    for j in range(rows):
-                        key = mix(key + value[:, j])
-                    ids.append(names[k])
-                    keys.append(key.view(np.int64))
-                    totals.append(float(weights.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(totals, pa.float64())], ["id", "keys", "total"])
+def _of_blobs(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays written as bytes, one after another, and the length of each."""
+    got = [np.frombuffer(x, kind) for x in column.to_pylist()]
+    return (np.concatenate(got) if got else np.zeros(0, kind)), np.array([len(x) for x in got], np.int64)
+
+
+def _range_counts(t: pa.Table) -> pa.Table:
+    """For the slices of one range of hashes, their shingles that several texts have, and how many."""
+    s, lengths = _of_blobs(t["shingles"], np.uint64)
+    n, _ = _of_blobs(t["n"], np.int32)
+    order = np.argsort(s, kind="stable")
+    edge = np.flatnonzero(np.append(True, s[order][1:] != s[order][:-1]))
+    total = np.zeros(len(s), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), edge), np.diff(np.append(edge, len(s))))
+    ends = np.cumsum(lengths)
+    shared, counts, numbers = [], [], []
+    for number, lo, hi in zip(t["slice"].to_pylist(), ends - lengths, ends):
+        many = np.flatnonzero(total[lo:hi] > 1) + lo
+        if len(many):
+            numbers.append(number)
+            shared.append(s[many].tobytes())
+            counts.append(total[many].astype(np.int32).tobytes())
+    return pa.table({"slice": pa.array(numbers, pa.int64()), "shingles": pa.array(shared, pa.binary()), "n": pa.array(counts, pa.binary())})
+
+
+def weights_of(s: np.ndarray, tf: np.ndarray, common: np.ndarray, seen: np.ndarray, documents: int) -> np.ndarray:
+    """tf * idf of shingles; common: sorted shingles of several documents, and seen: of how many."""
+    n = np.ones(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        n = np.where(common[at] == s, seen[at], n)
+    return tf * idf_table(n, documents)
+
+
+def _weighed(h: np.ndarray, words: int, common: bytes, seen: bytes, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, weights) of one text's word hashes."""
+    s, tf = shingles(h, words)
+    return s, weights_of(s, tf, np.frombuffer(common, np.uint64), np.frombuffer(seen, np.int32), documents)
+
+
+_SIGNED = "id long, keys array<long>, total double, common binary, seen binary"
+
+
+def _bands(words: int, bands: int, rows: int, documents: int):
+    """Band keys and weights of the texts of one slice, and each text's shingles that several documents have, as bytes."""
+
+    def run(texts: pa.Table, counted: pa.Table) -> pa.Table:
+        salts = _salts(bands * rows)
+        of_slice, _ = _of_blobs(counted["shingles"], np.uint64)
+        n, _ = _of_blobs(counted["n"], np.int32)
+        order = np.argsort(of_slice)
+        of_slice, n = of_slice[order], n[order]
+        column = texts["text"].combine_chunks()
+        names = texts["id"].to_numpy()
+        ids, keys, totals, common, seen = [], [], [], [], []
+        for lo, hi in slices(column):
+            w = Words(column.slice(lo, hi - lo))
+            h = w.hashes()
+            for k in range(hi - lo):
+                s, tf = shingles(h[w.first[k] : w.first[k + 1]], words)
+                if not len(s):
+                    continue
+                at = np.minimum(np.searchsorted(of_slice, s), max(0, len(of_slice) - 1))
+                many = np.flatnonzero(of_slice[at] == s) if len(of_slice) else np.zeros(0, np.int64)
+                own, of = s[many], n[at[many]]
+                weights = weights_of(s, tf, own, of, documents)
+                value = sample(s, weights, salts).reshape(bands, rows)
+                key = np.arange(bands, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+                for j in range(rows):
+                    key = mix(key + value[:, j])
+                ids.append(names[lo + k])
+                keys.append(key.view(np.int64))
+                totals.append(float(weights.sum()))
+                common.append(own.tobytes())
+                seen.append(of.tobytes())
+        return pa.table(
+            {"id": pa.array(ids, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "total": pa.array(totals, pa.float64()), "common": pa.array(common, pa.binary()), "seen": pa.array(seen, pa.binary())}
+        )
 
     return run
 
 
-def _verify(words: int, threshold: float, idf):
-    """Pairs (a, b, text_a, text_b) that are similar enough."""
+def _verify(words: int, threshold: float, documents: int):
+    """Pairs (a, b, text_a, common_a, seen_a, and those of b) that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
         known: OrderedDict[int, tuple] = OrderedDict()
 
-        def weighed(id_: int, texts: pa.Array, k: int) -> tuple:
+        def weighed(id_: int, batch: pa.RecordBatch, at: int, k: int) -> tuple:
             got = known.get(id_)
             if got is None:
-                s, tf = shingles(Words(texts.slice(k, 1)).hashes(), words)
-                got = s, tf * table[bucket_of(s)]
+                h = Words(batch.column(at).slice(k, 1)).hashes()
+                got = _weighed(h, words, batch.column(at + 1)[k].as_py(), batch.column(at + 2)[k].as_py(), documents)
                 known[id_] = got
                 if len(known) > 256:
                     known.popitem(last=False)
@@ -201,27 +285,26 @@ def _verify(words: int, threshold: float, idf):
             keep = [
                 k
                 for k in range(batch.num_rows)
-                if weighted_jaccard(weighed(int(a[k]), batch.column(2), k), weighed(int(b[k]), batch.column(3), k)) >= threshold
+                if weighted_jaccard(weighed(int(a[k]), batch, 2, k), weighed(int(b[k]), batch, 5, k)) >= threshold
             ]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return run
 
 
-def _weighted(words: int, idf):
-    """(shingle, id, weight) of texts (id, text)."""
+def _weighted(words: int, documents: int):
+    """(shingle, id, weight) of texts (id, text, common, seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
         for batch in batches:
             names = batch.column(0).to_numpy()
             for lo, hi in slices(batch.column(1), 1 << 20):
                 w = Words(batch.column(1).slice(lo, hi - lo))
                 h = w.hashes()
-                got = [shingles(h[w.first[k] : w.first[k + 1]], words) for k in range(hi - lo)]
-                s, tf = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+                got = [_weighed(h[w.first[k] : w.first[k + 1]], words, batch.column(2)[lo + k].as_py(), batch.column(3)[lo + k].as_py(), documents) for k in range(hi - lo)]
+                s, weights = (np.concatenate([g[i] for g in got]) for i in (0, 1))
                 ids = np.repeat(names[lo:hi], [len(g[0]) for g in got])
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids), pa.array(tf * table[bucket_of(s)])], ["shingle", "id", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids), pa.array(weights)], ["shingle", "id", "weight"])
 
     return run
 
@@ -232,19 +315,19 @@ def _most_differences(threshold: float) -> int:
     return int(SKETCH * p + 4 * (SKETCH * p * (1 - p)) ** 0.5) + 1
 
 
-def _sketches(words: int, skip: int, idf):
-    """(id, bits) of texts (id, text): the lowest bits of SKETCH samples, as longs."""
+def _sketches(words: int, skip: int, documents: int):
+    """(id, bits) of texts (id, text, common, seen): the lowest bits of SKETCH samples, as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, salts = idf.value, _salts(skip + SKETCH)[skip:]
+        salts = _salts(skip + SKETCH)[skip:]
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 w = Words(batch.column(1).slice(lo, hi - lo))
                 h = w.hashes()
                 bits = []
                 for k in range(hi - lo):
-                    s, tf = shingles(h[w.first[k] : w.first[k + 1]], words)
-                    v = sample(s, tf * table[bucket_of(s)], salts) if len(s) else np.zeros(SKETCH, np.uint64)
+                    s, weights = _weighed(h[w.first[k] : w.first[k + 1]], words, batch.column(2)[lo + k].as_py(), batch.column(3)[lo + k].as_py(), documents)
+                    v = sample(s, weights, salts) if len(s) else np.zeros(SKETCH, np.uint64)
                     bits.append(np.packbits((v & U(1)).astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bits, pa.list_(pa.int64()))], ["id", "bits"])
 
@@ -270,28 +353,33 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     whole = src.where("text is not null")
-    counted = whole.select("text").mapInArrow(_document_counts(words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS)
-    counts[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
-    idf = spark.sparkContext.broadcast(idf_table(counts, whole.count()))
+    documents, size = whole.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(1, math.ceil(size / _RANGE))
+    tasks = max(ranges, spark.sparkContext.defaultParallelism)
 
     keyed = whole.select("id", F.sha2("text", 256).alias("sha"))
     classes = scratch.keep(keyed.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    signed = scratch.keep(whole.mapInArrow(_bands(words, bands, rows, idf), "id long, keys array<long>, total double"))
-    reps = scratch.keep(signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
+    sliced = scratch.keep(whole.mapInArrow(_sliced, "slice long, id long, text string"))
+    sent = sliced.mapInArrow(_slice_counts(words, ranges), "range int, slice long, shingles binary, n binary")
+    counted = scratch.keep(sent.groupBy("range").applyInArrow(_range_counts, "slice long, shingles binary, n binary"))
+    # a stated number of partitions is not coalesced by size: sampling costs far more than reading
+    of_slice = lambda df: df.repartition(tasks, "slice").groupBy("slice")
+    signed = scratch.keep(of_slice(sliced).cogroup(of_slice(counted)).applyInArrow(_bands(words, bands, rows, documents), _SIGNED))
+    scratch.drop(sliced, counted)
+    reps = scratch.keep(signed.select("id", "keys", "total").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     members = reps.select(F.explode("keys").alias("key"), "id", "total")
     crowd = scratch.keep(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = scratch.keep(members.join(crowd, "key", "left_semi"))
     needed = members.select("id").distinct()
     # a merge join at every size: whether the ids happen to fit a broadcast must not decide what is shuffled
-    texts = scratch.keep(src.hint("merge").join(needed, "id", "left_semi"))
+    shared = signed.select("id", "common", "seen").hint("merge").join(needed, "id", "left_semi")
+    texts = scratch.keep(src.hint("merge").join(shared, "id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        a, b = (texts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("text", "common", "seen"))) for x in "ab")
         with_a = pairs.join(a, "a")
-        both = with_a.join(b, "b").select("a", "b", "text_a", "text_b")
-        return scratch.keep(both.mapInArrow(_verify(words, threshold, idf), "a long, b long"))
+        both = with_a.join(b, "b").select("a", "b", "text_a", "common_a", "seen_a", "text_b", "common_b", "seen_b")
+        return scratch.keep(both.mapInArrow(_verify(words, threshold, documents), "a long, b long"))
 
     def possible():
         """Whether the texts id and b can be similar enough: exactly by weights, up to rounding, and by their sketches if known."""
@@ -335,10 +423,10 @@ def near_duplicates(
         labelled = scratch.keep(labelled.join(mixed, "key", "left_semi").select("key", "id", "total", "component", "own", "bits"))
         if own is None:
             open_ = scratch.keep(texts.join(labelled.select("id").distinct(), "id", "left_semi"))
-            parts = open_.mapInArrow(_weighted(words, idf), "shingle long, id long, weight double")
+            parts = open_.mapInArrow(_weighted(words, documents), "shingle long, id long, weight double")
             single = parts.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1")
             own = scratch.keep(single.groupBy("id").agg(F.sum("weight").alias("own")))
-            bits = scratch.keep(open_.mapInArrow(_sketches(words, bands * rows, idf), "id long, bits array<long>"))
+            bits = scratch.keep(open_.mapInArrow(_sketches(words, bands * rows, documents), "id long, bits array<long>"))
             labelled = scratch.keep(labelled.drop("own", "bits").join(bits, "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0.0))))
     if comps is None:
         comps = spark.createDataFrame([], "id long, component long")

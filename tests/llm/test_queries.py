@@ -122,6 +122,24 @@ def test_minhash_links_a_chain_in_a_hot_bucket(spark):
     assert sum(got[k] != label[k] for k in range(60)) <= 1 and len(set(label)) > 1
 
 
+def test_minhash_counts_documents_for_each_shingle(spark):
+    r = np.random.default_rng(14)
+    line = lambda n: " ".join(f"{x:06x}" for x in r.integers(0, 1 << 24, n))
+    one, two, rare = line(150), line(150), line(700)
+    # many more distinct shingles than buckets: a bucket counts several documents
+    rows = [f"{one}\n{two}\n{line(5000)}" for _ in range(300)] + [f"{rare}\n{one}", f"{rare}\n{two}"]
+    parts = [minhash.shingles(Words(pa.array([t])).hashes(), 5) for t in rows]
+    every, n = np.unique(np.concatenate([s for s, _ in parts]), return_counts=True)
+    buckets = np.zeros(minhash.BUCKETS)
+    for s, _ in parts:
+        buckets[np.unique(minhash.bucket_of(s))] += 1
+    true = [(s, tf * minhash.idf_table(n[np.searchsorted(every, s)], len(rows))) for s, tf in parts[-2:]]
+    hashed = [(s, tf * minhash.idf_table(buckets, len(rows))[minhash.bucket_of(s)]) for s, tf in parts[-2:]]
+    assert minhash.weighted_jaccard(*true) >= 0.8 > minhash.weighted_jaccard(*hashed)
+    got = {x.doc_id: x.group_id for x in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {k: min(k, 300) for k in range(302)}
+
+
 def test_hamming(spark):
     r = np.random.default_rng(3)
     codes = [int(x) for x in r.integers(-(1 << 63), 1 << 63, 300)]
