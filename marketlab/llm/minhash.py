@@ -17,8 +17,8 @@ unresolved: its members of different components are compared with the pivots of
 least weight of their own, and what is still open after them is compared in full, all pairs of different components. Only pairs are left out that
 cannot be links by their weights: with own(x) the weight of the shingles of x that no other text of an unresolved bucket has,
 two texts share at most min(W(x) - own(x), W(y) - own(y)), which must be t / (1 + t) of W(x) + W(y) or more for a similarity of t.
-Texts of unresolved buckets also get one bit of each of SKETCH further samples; pairs of similarity t differ in more of them than
-``_most_differences`` allows with a probability of 0.00003, less than that of sharing no band. Groups of many near copies cost about one comparison for each member, and texts of such
+So no link that shares a bucket is lost.
+Groups of many near copies cost about one comparison for each member, and texts of such
 a group that were edited too much to be near any other are told by what is their own.
 
 Cases: a null text links with nothing; equal texts (also empty or without words) are copies; texts of fewer words than a shingle have
@@ -43,7 +43,6 @@ from marketlab.llm._spark import Scratch
 from marketlab.llm._words import U, Words, mix, ngrams, slices
 
 BUCKETS = 1 << 18
-SKETCH = 1024
 _DRAWS = 1 << 20
 _CHUNK = 2048
 _SLICE = 1 << 22  # bytes of texts whose shingles are counted together
@@ -309,31 +308,6 @@ def _weighted(words: int, documents: int):
     return run
 
 
-def _most_differences(threshold: float) -> int:
-    """Bits of SKETCH in which two texts of that similarity differ, four deviations above the mean."""
-    p = (1 - threshold) / 2
-    return int(SKETCH * p + 4 * (SKETCH * p * (1 - p)) ** 0.5) + 1
-
-
-def _sketches(words: int, skip: int, documents: int):
-    """(id, bits) of texts (id, text, common, seen): the lowest bits of SKETCH samples, as longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = _salts(skip + SKETCH)[skip:]
-        for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                w = Words(batch.column(1).slice(lo, hi - lo))
-                h = w.hashes()
-                bits = []
-                for k in range(hi - lo):
-                    s, weights = _weighed(h[w.first[k] : w.first[k + 1]], words, batch.column(2)[lo + k].as_py(), batch.column(3)[lo + k].as_py(), documents)
-                    v = sample(s, weights, salts) if len(s) else np.zeros(SKETCH, np.uint64)
-                    bits.append(np.packbits((v & U(1)).astype(np.uint8)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bits, pa.list_(pa.int64()))], ["id", "bits"])
-
-    return run
-
-
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -382,24 +356,20 @@ def near_duplicates(
         return scratch.keep(both.mapInArrow(_verify(words, threshold, documents), "a long, b long"))
 
     def possible():
-        """Whether the texts id and b can be similar enough: exactly by weights, up to rounding, and by their sketches if known."""
+        """Whether the texts id and b can be similar enough by their weights, up to rounding."""
         x, own_x, y, own_y = map(F.col, ("total", "own", "total_b", "own_b"))
-        by_weight = F.least(x - own_x, y - own_y) >= (x + y) * (threshold / (1 + threshold) - 1e-9)
-        if own is None:
-            return by_weight
-        differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH // 64)), F.lit(0))
-        return by_weight & (differ <= _most_differences(threshold))
+        return F.least(x - own_x, y - own_y) >= (x + y) * (threshold / (1 + threshold) - 1e-9)
 
     links = comps = tried = own = None
-    labelled = members.withColumns({"component": F.col("id"), "own": F.lit(0.0), "bits": F.lit(None).cast("array<long>")})
+    labelled = members.withColumns({"component": F.col("id"), "own": F.lit(0.0)})
     # the last round compares what is still open in full
     for turn in range(pivots + 1):
         # the first pivots are any; later ones have the least of their own, so they are the text that the others were made from, or near it
         middle = F.lit(0.0) if own is None else F.col("own") / F.col("total")
-        order = F.struct(middle, F.xxhash64("id", "key", F.lit(turn)), "component", "id", "total", "own", "bits")
+        order = F.struct(middle, F.xxhash64("id", "key", F.lit(turn)), "component", "id", "total", "own")
         pivot = scratch.keep(
             labelled.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high").select("key", F.col("p.id").alias("b"), F.col("p.component").alias("cb"), F.col("p.total").alias("total_b"), F.col("p.own").alias("own_b"), F.col("p.bits").alias("bits_b"))
+            .where("low <> high").select("key", F.col("p.id").alias("b"), F.col("p.component").alias("cb"), F.col("p.total").alias("total_b"), F.col("p.own").alias("own_b"))
         )
         if not pivot.limit(1).count():
             break
@@ -408,7 +378,7 @@ def near_duplicates(
             here = F.col("component") != F.col("cb")
         else:
             rest = scratch.keep(labelled.join(pivot.select("key"), "key", "left_semi"))
-            met = rest.join(rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("total_b"), F.col("own").alias("own_b"), F.col("bits").alias("bits_b")), "key")
+            met = rest.join(rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("total_b"), F.col("own").alias("own_b")), "key")
             here = (F.col("component") != F.col("cb")) & (F.col("id") > F.col("b"))
         pairs = met.where(here & possible()).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
@@ -420,14 +390,13 @@ def near_duplicates(
             labelled = labelled.drop("component").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # only buckets that are still open, and their texts' own weights, go on
         mixed = scratch.keep(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
-        labelled = scratch.keep(labelled.join(mixed, "key", "left_semi").select("key", "id", "total", "component", "own", "bits"))
+        labelled = scratch.keep(labelled.join(mixed, "key", "left_semi").select("key", "id", "total", "component", "own"))
         if own is None:
             open_ = scratch.keep(texts.join(labelled.select("id").distinct(), "id", "left_semi"))
             parts = open_.mapInArrow(_weighted(words, documents), "shingle long, id long, weight double")
             single = parts.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1")
             own = scratch.keep(single.groupBy("id").agg(F.sum("weight").alias("own")))
-            bits = scratch.keep(open_.mapInArrow(_sketches(words, bands * rows, documents), "id long, bits array<long>"))
-            labelled = scratch.keep(labelled.drop("own", "bits").join(bits, "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0.0))))
+            labelled = scratch.keep(labelled.drop("own").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0.0))))
     if comps is None:
         comps = spark.createDataFrame([], "id long, component long")
     of_class = classes.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sha", "copies", F.coalesce("component", "rep").alias("group_id"))

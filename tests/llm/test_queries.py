@@ -122,6 +122,36 @@ def test_minhash_links_a_chain_in_a_hot_bucket(spark):
     assert sum(got[k] != label[k] for k in range(60)) <= 1 and len(set(label)) > 1
 
 
+def test_minhash_rules_out_no_pair_by_an_estimate(spark, monkeypatch):
+    # were there an estimate, it would rule out all
+    monkeypatch.setattr(minhash, "_most_differences", lambda threshold: -1, raising=False)
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    base = [word() for _ in range(400)]
+    rows = []
+    for _ in range(100):  # pairs of near copies in buckets of texts that are not near enough, so most pivots are of another pair
+        one = list(base)
+        for i in r.choice(400, 4, replace=False):
+            one[i] = word()
+        two = list(one)
+        for i in r.choice(400, 3, replace=False):
+            two[i] = word()
+        rows += [" ".join(one), " ".join(two)]
+    got = {x.doc_id: x.group_id for x in minhash.near_duplicates(frame(spark, rows)).collect()}
+    parts = [minhash.shingles(Words(pa.array([t])).hashes(), 5) for t in rows]
+    counts = np.zeros(minhash.BUCKETS)
+    for s, _ in parts:
+        counts[np.unique(minhash.bucket_of(s))] += 1
+    idf = minhash.idf_table(counts, 200)
+    w = [(s, tf * idf[minhash.bucket_of(s)]) for s, tf in parts]
+    label = list(range(200))
+    for a, b in combinations(range(200), 2):
+        if minhash.weighted_jaccard(w[a], w[b]) >= 0.8:
+            lo, hi = sorted((label[a], label[b]))
+            label = [lo if x == hi else x for x in label]
+    assert got == dict(enumerate(label)) and len(set(label)) > 1
+
+
 def test_minhash_counts_documents_for_each_shingle(spark):
     r = np.random.default_rng(14)
     line = lambda n: " ".join(f"{x:06x}" for x in r.integers(0, 1 << 24, n))
