@@ -55,7 +55,7 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
         whole.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("own")).distinct()
     )
     keep = first.join(prefixes, "own", "left_anti").select("conv_id")
-    return whole.join(keep, "conv_id").select("conv_id", "n_turns", "rendered")
+    return scratch.finish(whole.join(keep, "conv_id").select("conv_id", "n_turns", "rendered"))
 
 
 SQL = """

@@ -99,4 +99,5 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
         pairs = pairs.unionByName(more)
     rank = Window.partitionBy("q").orderBy("distance", "id")
     ranked = pairs.select("q", "code", "distance").join(members.select("code", "id"), "code").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(ranked, "q").select("query_id", "rank", "id", F.col("distance").cast("long").alias("distance"))
+    found = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(ranked, "q")
+    return scratch.finish(found.select("query_id", "rank", "id", F.col("distance").cast("long").alias("distance")))
