@@ -13,7 +13,8 @@ The last level compares 128-bit fingerprints of whole windows.
 Copies of whole texts are found first; one of each group goes through the levels, marked as repeated.
 
 Cases: a null text has no words; a text shorter than the window keeps all its words; windows
-may overlap themselves in one document; an empty table gives an empty result; columns other than id and text are ignored.
+may overlap themselves in one document; rows of one id are documents of their own, so repeated rows are copies; an empty table gives an empty result;
+columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,9 +101,12 @@ class _Doc:
 
 
 def _first(window: int):
+    """Texts (name, text) with a number for each row, and their values of the first level."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            names, texts = batch.column(0), batch.column(1)
             for lo, hi in slices(texts):
                 part = texts.slice(lo, hi - lo)
                 words = Words(part)
@@ -119,9 +124,11 @@ def _first(window: int):
                     else:
                         values.append([])
                         many.append([])
+                ids = np.arange(row, row + hi - lo)
+                row += hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sha), pa.array(values, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.bool_()))],
-                    ["id", "n_words", "sha", "values", "many"],
+                    [pa.array(ids), names.slice(lo, hi - lo), part, pa.array(n, pa.int64()), pa.array(sha), pa.array(values, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.bool_()))],
+                    ["id", "name", "text", "n_words", "sha", "values", "many"],
                 )
 
     return run
@@ -220,13 +227,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     kept: the kept words joined by one space. It is null where nothing is removed, and where the whole
     text is a copy (then nothing is kept if it has ``window`` words or more). window: at least 13.
-    Ids must be unique longs.
+    Rows are told apart by a number of their own, so ids may repeat or be null.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = scratch.keep(src.mapInArrow(_first(window), "id long, n_words long, sha string, values array<long>, many array<boolean>"))
-    heads = base.select("id", "n_words", "sha")
+    src = docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("text"))
+    # numbers of rows are fixed once the table is written, so later steps read its texts
+    base = scratch.keep(src.mapInArrow(_first(window), "id long, name long, text string, n_words long, sha string, values array<long>, many array<boolean>"))
+    heads = base.select("id", "name", "n_words", "sha")
     copies = scratch.keep(
         heads.where(F.col("n_words") >= window)
         .groupBy("sha", "n_words")
@@ -234,15 +242,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         .where("copies > 1")
     )
     marked = scratch.keep(
-        heads.join(copies, ["sha", "n_words"], "left").select("id", "n_words", "sha", F.col("copies").isNotNull().alias("copied"), F.coalesce("first", "id").alias("first"))
+        heads.join(copies, ["sha", "n_words"], "left").select("id", "name", "n_words", "sha", F.col("copies").isNotNull().alias("copied"), F.coalesce("first", "id").alias("first"))
     )
     rows = base.select("id", F.explode(F.arrays_zip("values", "many")).alias("x")).select("id", F.col("x.values").alias("v"), F.col("x.many").alias("many"))
     known = _repeated(rows, ["v"], scratch)
     alive = rows.join(known, "v", "left_semi").groupBy("id").agg(F.collect_list("v").alias("alive0"))
     alive = scratch.keep(alive.join(marked.where("id = first").select("id", "copied"), "id"))
-    scratch.drop(base, known)
-    state = scratch.keep(src.join(alive, "id").select("id", "text", "copied", "alive0"))
-    scratch.drop(alive)
+    state = scratch.keep(base.select("id", "text").join(alive, "id").select("id", "text", "copied", "alive0"))
+    scratch.drop(base, known, alive)
     steps = levels(window)
     for level in range(1, len(steps)):
         last = level == len(steps) - 1
@@ -264,11 +271,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     done = scratch.keep(state.mapInArrow(_last(window), "id long, n_removed long, sha string, kept string"))
     scratch.drop(state)
     nothing = hashlib.sha256(b"").hexdigest()
-    return (
-        marked.select("id", "n_words", F.col("sha").alias("whole"), "copied")
+    return scratch.finish(
+        marked.select("id", "name", "n_words", F.col("sha").alias("whole"), "copied")
         .join(done, "id", "left")
         .select(
-            F.col("id").alias(id_col),
+            F.col("name").alias(id_col),
             "n_words",
             F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(F.col("copied"), F.lit(nothing)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
