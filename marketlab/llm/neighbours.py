@@ -7,12 +7,17 @@ nothing below the threshold is saturated: its list may hide more links, within i
 components with such a vector are cut in cells of at most about ``BLOCK`` vectors, and every vector of another component is compared
 with all of a cell that its angle to the cell's centre lets it reach: linked ones make components one.
 Then the lists of such a component are enlarged to the whole component, in blocks that give counts of links rather than pairs.
-Recall is audited on a stated set of query vectors against all others; below the target the graph
-gets more trees and rounds, and after the last attempt an error is raised.
+Recall is audited against all vectors, in blocks, on two stated sets of queries: vectors of least hash, which tell of isolated pairs, and
+vectors of least hash that have a link, which tell of links that are missing beside found ones. Below the target the graph
+gets as many trees again and further rounds; after the last attempt an error is raised, so no result is of lower recall.
+
+The number of trees follows from the number of vectors: enough that two vectors at the threshold share a leaf of some tree with a
+probability of 0.995, without any refinement.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and
 are their own component; vectors of different lengths are not linked; equal vectors are one node,
-linked with each other; repeated ids are not expected (the id is the key); an empty table gives an empty result.
+linked with each other; rows of one id are vectors of their own, so repeated rows are links of each other; a null id is no component's name unless it has
+no other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +35,9 @@ from marketlab.llm._graph import components
 from marketlab.llm._spark import Scratch
 
 LEAF = 64
-BLOCK = 400
+BLOCK = 400  # vectors of a cell
+SIDE = 4096  # vectors of a block whose links are counted
+ATTEMPTS = 6
 CELLS = 8192  # centres that are broadcast at a time
 
 
@@ -112,13 +120,19 @@ def _block_counts(threshold: float):
         ids, side, size = t["id"].to_numpy(), t["side"].to_numpy(), t["size"].to_numpy()
         x = _matrix(t["x"])
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        hit = (x[left] @ x[right].T) >= threshold
-        hit &= ids[left][:, None] != ids[right][None, :]
-        of = hit @ size[right].astype(np.float64)
+        both = bool((side == 2).any())
+        of, back = np.zeros(len(left)), np.zeros(len(right))
+        for lo in range(0, len(left), 512):
+            rows = left[lo : lo + 512]
+            hit = (x[rows] @ x[right].T) >= threshold
+            hit &= ids[rows][:, None] != ids[right][None, :]
+            of[lo : lo + 512] = hit @ size[right].astype(np.float64)
+            if both:
+                back += size[rows].astype(np.float64) @ hit
         out_ids, out = [ids[left]], [of]
-        if (side == 2).any():
+        if both:
             out_ids.append(ids[right])
-            out.append(hit.T @ size[left].astype(np.float64))
+            out.append(back)
         return pa.table({"id": np.concatenate(out_ids), "links": np.concatenate(out).astype(np.int64)})
 
     return run
@@ -180,40 +194,50 @@ def _bridges(threshold: float):
     return run
 
 
-def _audit(queries: np.ndarray, ids: np.ndarray, threshold: float):
-    """True links of the query vectors: (query, v)."""
+def _audit(queries: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
+    """True links of the query vectors, ids and unit vectors for each length: (query, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
-            rows = np.flatnonzero(dims == queries.shape[1])
-            if not len(rows):
-                continue
-            own = batch.column(0).to_numpy()[rows]
-            hit = queries @ _matrix(batch.column(1).take(pa.array(rows))).T >= threshold
-            hit &= ids[:, None] != own[None, :]
-            i, j = np.nonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j])], ["u", "v"])
+            for dim in np.unique(dims):
+                if int(dim) not in queries:
+                    continue
+                ids, asked = queries[int(dim)]
+                rows = np.flatnonzero(dims == dim)
+                own = batch.column(0).to_numpy()[rows]
+                hit = asked @ _matrix(batch.column(1).take(pa.array(rows))).T >= threshold
+                hit &= ids[:, None] != own[None, :]
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j])], ["u", "v"])
 
     return run
 
 
+def trees_for(threshold: float, bits: int, target: float = 0.995) -> int:
+    """Trees of ``bits`` hyperplanes of which two vectors of cosine ``threshold`` share a leaf of one or more with a probability of ``target``."""
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if together >= target else math.ceil(math.log(1 - target) / math.log1p(-together))
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.9,
     k: int = 10,
-    trees: int = 24,
+    trees: int | None = None,
     most_rounds: int = 4,
     audit: int = 200,
     target: float = 0.99,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    audited: list | None = None,
 ) -> DataFrame:
-    """(id_col, n_links, component_id, kept): links of cosine >= threshold, in double precision.
+    """(id_col, n_links, component_id, kept): links of cosine >= threshold, in double precision; one row for each row of vectors.
 
-    audit: the number of query vectors, those with the least hash of their id, whose links are
+    audit: the number of query vectors of each of the two sets whose links are
     counted against all vectors; while the graph has less than ``target`` of them and
-    fewer than three attempts were made, it gets as many trees again; after the third an error is raised.
+    fewer than ATTEMPTS attempts were made, it gets as many trees again; after the last an error is raised. trees: by default trees_for().
+    audited: gets (links asked for, links found) of each attempt.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -223,13 +247,17 @@ def near_duplicates(
     good = F.coalesce(F.col("x").isNotNull() & ~bad & (norm > 0), F.lit(False))
     marked = src.withColumn("good", good)
     # equal vectors share a key of fixed size; a hot one is aggregated before the shuffle
-    keyed = marked.where("good").select("id", F.sha2(F.to_json(F.col("x").cast("array<double>")), 256).alias("key"))
-    groups = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("size")))
-    nodes = scratch.keep(src.join(groups.select(F.col("node").alias("id"), "size"), "id").select("id", "x", F.size("x").alias("dim"), "size"))
+    key = F.unhex(F.sha2(F.to_json(F.col("x").cast("array<double>")), 256)).alias("key")
+    keyed = marked.where("good").select("id", key)
+    # numbers are fixed once the table is written
+    groups = marked.where("good").select("id", key, "x").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("x").alias("x"))
+    groups = scratch.keep(groups.select(F.monotonically_increasing_id().alias("node"), "key", "rep", "size", "x"))
+    nodes = groups.select(F.col("node").alias("id"), "x", F.size("x").alias("dim"), "size")
     n = nodes.count()
     bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
-    partitions = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(audit).select("id", "x", "dim").toPandas()
+    trees = trees_for(threshold, bits) if trees is None else trees
+    some = lambda df: df.orderBy(F.xxhash64("x"), "id").limit(audit).select("id", "x", "dim").toPandas()
+    sample = some(nodes)
     nearest = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     best = lambda df: df.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).drop("nth")
 
@@ -240,13 +268,13 @@ def near_duplicates(
         full = links.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k)
         crowded = scratch.keep(
             comps.join(full.select(F.col("u").alias("id")), "id", "left_semi").select("component").distinct()
-            .join(comps, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            .join(comps, "component").groupBy("component").agg(F.count("*").alias("members"))
         )
         return links, comps, scratch.keep(comps.join(crowded, "component"))
 
     def between(comps: DataFrame, inside: DataFrame) -> DataFrame | None:
         """Links (u, v) of vectors to crowded components other than their own: one for each vector and cell that have any."""
-        cell = F.expr("cast(pmod(xxhash64(id), blocks) as int)")
+        cell = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).cast("int")
         members = scratch.keep(inside.select("id", "component", cell.alias("cell")).join(nodes.select("id", "x", "dim"), "id"))
         cells = scratch.keep(members.groupBy("component", "cell").applyInArrow(_cell, "component long, cell int, dim int, centre array<double>, radius double"))
         n_cells = cells.count()
@@ -278,7 +306,7 @@ def near_duplicates(
         return out
 
     graph = None
-    for attempt in range(3):
+    for attempt in range(ATTEMPTS):
         keys = nodes.mapInArrow(_leaf_keys(list(range(attempt * trees, (attempt + 1) * trees)), bits), "id long, tree int, dim int, leaf long")
         keys = scratch.keep(keys)
         sizes = scratch.keep(keys.groupBy("tree", "dim", "leaf").agg(F.ceil(F.count("*") / (4.0 * LEAF)).alias("parts")))
@@ -307,12 +335,14 @@ def near_duplicates(
         bridges = between(comps, inside)
         if bridges is not None and bridges.limit(1).count():
             links, comps, inside = grouped(links.unionByName(bridges))
-        if not len(sample):
+        asked = pd.concat([sample, some(nodes.join(links.select(F.col("u").alias("id")), "id", "left_semi"))]).drop_duplicates("id")
+        if not len(asked):
             break
-        same = sample[sample["dim"] == sample["dim"].mode()[0]]
-        x = np.array(same["x"].tolist(), dtype=np.float64)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        true = scratch.keep(nodes.select("id", "x", "dim").mapInArrow(_audit(x, same["id"].to_numpy(np.int64), threshold), "u long, v long"))
+        by_dim = {}
+        for dim, group in asked.groupby("dim"):
+            x = np.array(group["x"].tolist(), dtype=np.float64)
+            by_dim[int(dim)] = group["id"].to_numpy(np.int64), x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        true = scratch.keep(nodes.select("id", "x", "dim").mapInArrow(_audit(by_dim, threshold), "u long, v long"))
         missed = true.join(links, ["u", "v"], "left_anti")
         # links inside a crowded component are all met by its blocks
         by_u = inside.select(F.col("id").alias("u"), F.col("component").alias("cu"))
@@ -320,11 +350,14 @@ def near_duplicates(
         missed = missed.join(by_u, "u", "left").join(by_v, "v", "left").where("cu is null or cv is null or cu <> cv").count()
         total = true.count()
         recall = 1.0 if not total else 1 - missed / total
+        if audited is not None:
+            audited.append((total, total - missed))
         if recall >= target:
             break
-        if attempt == 2:
+        if attempt == ATTEMPTS - 1:
             raise RuntimeError(f"the graph holds {total - missed} of {total} audited links ({recall:.4f}), less than {target}")
-    # node's own block with every other: (i, j), i <= j
+    # node's own block with every other: (i, j), i <= j; blocks of SIDE, so a vector of a component of n is sent n / SIDE times
+    inside = inside.withColumn("blocks", F.ceil(F.col("members") / SIDE).cast("int"))
     own = F.expr("cast(pmod(xxhash64(id), blocks) as int)")
     placed = inside.select("id", "component", "blocks", own.alias("b")).select(
         "id", "component", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(b, o) as i, greatest(b, o) as j, cast(case when b = o then 0 when b < o then 1 else 2 end as int) as side))")).alias("p")
@@ -342,12 +375,14 @@ def near_duplicates(
     )
     linked = counts.unionByName(single).groupBy("id").agg(F.sum("links").alias("links"))
     per_node = (
-        nodes.select("id", "size").join(linked, "id", "left").join(comps, "id", "left")
-        .select(F.col("id").alias("node"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    per_key = scratch.keep(groups.select("key", "node").join(per_node, "node").select("key", "n_links", "component_id"))
+        groups.select("key", "node", "rep", "size").join(linked.withColumnRenamed("id", "node"), "node", "left").join(comps.withColumnRenamed("id", "node"), "node", "left")
+        .select("key", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    )
+    per_node = scratch.keep(per_node)
+    named = per_node.groupBy("component").agg(F.min("rep").alias("component_id"))
+    per_key = scratch.keep(per_node.join(named, "component").select("key", "n_links", "component_id"))
     keyed_all = keyed.join(per_key, "key").select("id", "n_links", "component_id")
-    return (
+    return scratch.finish(
         keyed_all.unionByName(marked.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
-        .select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+        .select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
