@@ -83,4 +83,39 @@ r as (select *, row_number() over (partition by query_id order by distance, vec_
 select query_id, rank, vec_id, distance from r where rank <= 10
 """,
     "op4_chat_format": chats.SQL,
+    "op5_substring_dedup": """
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words
+  from documents),
+win as (
+  select r, s, md5(array_to_string(words[s:s + 34], ' ')) as h
+  from (select r, words, unnest(range(1, len(words) - 33)) as s from d where len(words) >= 35)),
+repeated as (select h from win group by h having count(*) > 1),
+gone as (
+  select distinct r, s + k as at
+  from (select r, s, unnest(range(0, 35)) as k from win where h in (select h from repeated))),
+w as (select r, unnest(words) as word, generate_subscripts(words, 1) as at from d),
+kept as (
+  select w.r, count(*) as n, string_agg(w.word, ' ' order by w.at) as text
+  from w left join gone on w.r = gone.r and w.at = gone.at where gone.at is null group by w.r)
+select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed,
+  sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept on d.r = kept.r
+""",
+    "op7_mixing": mixing.SQL,
+    "op10_embedding_dedup": """
+with recursive v as (select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings),
+ok as (
+  select r, e from v
+  where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and coalesce(list_sum(list_transform(e, lambda x: x * x)), 0) > 0),
+l as (
+  select a.r as a, b.r as b from ok a, ok b
+  where a.r <> b.r and case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.9 else false end),
+reach(r, other) as (select r, r from v union select reach.r, l.b from reach join l on l.a = reach.other),
+c as (select reach.r, min(v.vec_id) as component_id from reach join v on v.r = reach.other group by reach.r),
+n as (select a as r, count(*) as n from l group by a)
+select v.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, c.component_id, v.vec_id is not distinct from c.component_id as kept
+from v join c on v.r = c.r left join n on v.r = n.r
+""",
 }
