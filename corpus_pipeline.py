@@ -3,6 +3,9 @@
 quality: documents that the classifier rejects go. near_dedup: one document of each group of near copies stays.
 pii: personal data is redacted. mixing: documents are dropped or repeated so that sources meet their
 weights. packing: what is left is packed into sequences.
+
+Cases: null texts count as empty where they are scored, are never near copies, and are packed as their end id alone if the mix takes them (it
+does not: their size is 0); repeated rows are copies, of which one stays; an empty table gives an empty result; further columns are carried on.
 """
 
 from __future__ import annotations
@@ -20,8 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.deduplicate(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.keep(docs)
+            scratch.retain(docs)
     return docs
 
 
