@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -26,3 +27,25 @@ def test_stages_in_turn(spark):
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     starts = tokens.where("start = 0").count()
     assert starts == len(seen["mixing"])
+
+
+def test_stages_of_odd_documents(spark):
+    """Null texts, repeated rows, ids of several texts, clashing columns, and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.where("doc_id < 120")
+    odd = some.unionByName(some.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id between 120 and 130").withColumn("doc_id", F.col("doc_id") - 100))
+    odd = odd.withColumn("text", F.when(F.col("doc_id") % 11 != 0, F.col("text"))).withColumns({"n": F.lit(1), "sha": F.lit("x"), "mix_size": F.lit("y"), "score": F.lit(2.0)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, odd, SF).cache()
+        assert after.columns == odd.columns and {(r.n, r.sha, r.mix_size, r.score) for r in after.collect()} == {(1, "x", "y", 2.0)}
+        if name == "near_dedup":
+            rows = [(r.doc_id, r.text) for r in after.collect() if r.text is not None]
+            texts = [t for _, t in rows]
+            assert len(set(texts)) == len(texts) and {r.doc_id for r in odd.where("text is null").collect()} <= {r.doc_id for r in after.collect()}
+        odd = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
+    assert packed.where("start = 0").count() == odd.count()
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+        assert empty.count() == 0
