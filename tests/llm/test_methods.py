@@ -108,6 +108,30 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert "g r u m p f" in spaced
 
 
+def test_scores_of_texts_equal_unfolded_features():
+    r = np.random.default_rng(12)
+    texts = [insults(r, ["grumpf", "b.l.o.r.k"] if k % 2 else []) for k in range(120)]
+    m = toxicity.fit(texts, np.array([k % 2 for k in range(120)], float))
+    new = [*texts[:6], "", "a b", "G R U M P F ends.\nblork?", "supercalifragilisticexpialidocious grum-pfen", "é à grümpf"]
+    want = []
+    for t in new:
+        units = sorted({u for x in toxicity.strings(pa.array([t]))[0] for u in toxicity.windows(x)})
+        # the kernel with each landmark, their Nyström features, and the machine on those
+        kernel = toxicity.kernels(toxicity.letters(units), toxicity.letters(m.landmarks)) if units else np.zeros((0, len(m.landmarks)))
+        kernel = kernel / np.maximum(toxicity._roots(units), 1e-6)[:, None] / np.maximum(toxicity._roots(m.landmarks), 1e-6)[None, :]
+        decision = kernel @ m.root @ m.weights + m.bias
+        want.append(m.probability(max([m.bias, *decision])))
+    assert np.allclose(toxicity.score_texts(m, pa.array(new)), want, atol=1e-4)
+
+
+def test_sentences_and_runs():
+    found, codes, text, sentence = toxicity.strings(pa.array(["One two. Three f o u r!\nfive", None, "s i\nx y z", "end"]).fill_null(""))
+    said = {}
+    for c, t, j in zip(codes, text, sentence):
+        said.setdefault((int(t), int(j)), set()).add(found[c])
+    assert list(said.values()) == [{"one", "two"}, {"three", "f", "o", "u", "r", "f o u r!"}, {"five"}, {"s", "i"}, {"x", "y", "z", "x y z"}, {"end"}]
+
+
 def test_toxicity_with_one_label():
     m = toxicity.fit(["a b c"], np.zeros(1))
     assert toxicity.score_texts(m, pa.array(["x"]))[0] < 1e-6
