@@ -20,10 +20,12 @@ each; an empty table gives an empty result; columns with any names are carried o
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +90,7 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-WINDOW, OVERLAP = 256, 64
+WINDOW, OVERLAP = 448, 64
 TRAIN, PART = 96, 20_000  # characters of a training window, and of a training document
 _TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 _CHARS, _EMBED, _HIDDEN = 131, 12, 16
@@ -163,11 +165,15 @@ class Tagger:
                 raw, before = z.copy(), c.copy()
             np.clip(z[:, :3], 0, 1, out=z[:, :3])
             np.clip(z[:, 3], -1, 1, out=z[:, 3])
-            c = c * z[:, 1] + z[:, 0] * z[:, 3]
+            if trace is not None:
+                gates = z.copy()
+            c *= z[:, 1]
+            z[:, 0] *= z[:, 3]
+            c += z[:, 0]
             np.clip(c, -1, 1, out=hs[t])
             hs[t] *= z[:, 2]
             if trace is not None:
-                trace.append((h, before, raw, z.copy(), c))
+                trace.append((h, before, raw, gates, c.copy()))
             h = hs[t]
         ahead, back = hs[:, 0] @ self.out[0], hs[:, 1] @ self.out[1]
         ahead += back[::-1] if (length == time).all() else back[turn.T, np.arange(n)[None, :]]
@@ -448,9 +454,25 @@ def train(texts: list[str], windows: int = 8000, steps: int = 700, batch: int =
     return m
 
 
-_DOT = r"\s*[\[({<]?\s*(?:\.|\bdot\b)\s*[\])}>]?\s*"
-#: A name, one at sign and a domain with a dot, in any writing.
-_MAIL = re.compile(rf"[\w%+-]+(?:{_DOT}[\w%+-]+)*\s*[\[({{<]?\s*(?:@|\bat\b)\s*[\])}}>]?\s*[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+_TOKEN = re.compile(r"[\w%+-]+|\S")
+#: A name, one at sign and a domain with a dot: words w, dots d and at signs a.
+_MAIL = re.compile(r"w(?:dw)*aw(?:dw)+")
+
+
+def _mail(value: str) -> bool:
+    """Whether a span is an e-mail address in some writing: brackets and white space aside, words, dots and one at sign, spelled out or not."""
+    signs = []
+    for token in _TOKEN.findall(value):
+        low = token.lower()
+        if low in ("at", "@"):
+            signs.append("a")
+        elif low in ("dot", "."):
+            signs.append("d")
+        elif token[0].isalnum() or token[0] in "_%+-":
+            signs.append("w")
+        elif token not in "[](){}<>":
+            return False
+    return _MAIL.fullmatch("".join(signs)) is not None
 
 
 def _plausible(text: str, span: Span) -> bool:
@@ -458,7 +480,7 @@ def _plausible(text: str, span: Span) -> bool:
     value = text[span[0] : span[2]]
     n = len(_DIGITS.findall(value))
     if span[1] == 0:
-        return _MAIL.fullmatch(value) is not None
+        return _mail(value)
     if span[1] == 1:
         parts = re.findall(r"[0-9]+", value)
         return len(parts) == 4 and all(map(_byte, parts))
@@ -469,8 +491,6 @@ def _plausible(text: str, span: Span) -> bool:
 
 def reconcile(spans: set[Span]) -> list[Span]:
     """The spans that don't overlap and cover the most characters."""
-    import bisect
-
     order = sorted(spans, key=lambda s: (s[2], s[0], s[1]))
     ends = [s[2] for s in order]
     best: list[tuple[int, int | None, int]] = [(0, None, 0)]
@@ -555,11 +575,24 @@ def find(model: Tagger, texts: pa.Array, tables: tuple[np.ndarray, np.ndarray] |
     live = sorted({*np.flatnonzero(signs).tolist(), *added})
     for k, text in zip(live, texts.take(pa.array(live, pa.int64())).to_pylist()):
         base = base_spans(text)
-        free = {s for s in added.get(k, ()) if not any(s[0] < b[2] and b[0] < s[2] for b in base) and _plausible(text, s)}
+        free = {s for s in apart(added.get(k, set()), base) if _plausible(text, s)}
         out[k] = base, sorted(reconcile(free))
     return out
 
 
+def apart(spans: set[Span], base: list[Span]) -> list[Span]:
+    """The spans that overlap none of base."""
+    starts = [b[0] for b in base]
+    # how far the base spans up to each reach
+    reach = list(accumulate((b[2] for b in base), max))
+    out = []
+    for s in spans:
+        before = bisect.bisect_left(starts, s[2])
+        if not before or reach[before - 1] <= s[0]:
+            out.append(s)
+    return out
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 

@@ -221,7 +221,7 @@ def test_decoding_equals_all_paths_and_does_not_depend_on_the_batch():
 
 
 def test_windows_meet_and_cut_spans_are_joined():
-    for n in (0, 1, 64, 65, 255, 256, 257, 448, 449, 10_000):
+    for n in (0, 1, 64, 65, 447, 448, 449, 832, 833, 10_000):
         starts = list(private.windows_of(n))
         assert starts[0] == 0 and starts[-1] + private.WINDOW >= n and all(b - a == private.WINDOW - private.OVERLAP for a, b in zip(starts, starts[1:]))
     assert private.joined([(190, 0, 256, False, True), (192, 0, 300, True, False)]) == {(190, 0, 300)}
@@ -259,14 +259,25 @@ def test_spans_do_not_depend_on_where_windows_begin(tagger):
     model, prose, r = tagger
     value = "someone [at] example dot org"
     found = 0
-    for shift in range(150, 290, 7):
-        text = ((prose() + " ") * 4)[:shift] + " " + value + " " + prose()
+    for shift in range(330, 470, 7):
+        text = ((prose() + " ") * 6)[:shift] + " " + value + " " + prose()
         (base, added), = private.find(model, pa.array([text]))
         found += (shift + 1, 0, shift + 1 + len(value)) in added
     assert found >= 17
     assert private.find(model, pa.array(["", None, "x"])) == [([], [])] * 3
 
 
+def test_added_spans_apart_from_base_and_plausible_in_bounded_time():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        base = sorted((int(a), 0, int(a + n)) for a, n in zip(r.integers(0, 100, 5), r.integers(1, 20, 5)))
+        spans = {(int(a), 1, int(a + n)) for a, n in zip(r.integers(0, 100, 20), r.integers(1, 20, 20))}
+        assert set(private.apart(spans, base)) == {s for s in spans if not any(s[0] < b[2] and b[0] < s[2] for b in base)}
+    for text in ("a" + " " * 20_000 + "at" + " " * 20_000 + "b . c", "at " * 20_000, "a.dot " * 20_000, "dot " * 60 + "at" + " dot" * 60, "a-dot-" * 60, "At.At-dot." * 5000):
+        private._plausible(text, (0, 0, len(text)))
+    assert private._plausible("jo  [at]   x (dot) org", (0, 0, 22)) and not private._plausible("jo at home", (0, 0, 10))
+
+
 def test_reconcile_covers_the_most_without_overlap():
     spans = {(0, 0, 5), (4, 1, 10), (5, 1, 8), (9, 2, 12)}
     got = private.reconcile(spans)
