@@ -6,11 +6,10 @@ their closing tick. An asset's ticks are ordered by (ts_us, tick_id).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlab.functions.kernels import bar_ids
+from marketlab.functions.scans import BarMaker, scan
 
 INTERVALS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "1d": 86400}
 
@@ -48,16 +47,9 @@ def time_bars(ticks: DataFrame, interval: str = "1m") -> DataFrame:
 
 
 def _information_bars(ticks: DataFrame, kind: str, **options: float) -> DataFrame:
-    """The recurrence only assigns a bar to each tick; the bars are an ordinary aggregate. Ticks after the last closed bar are dropped."""
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "tick_id"])
-        return pdf.assign(bar=bar_ids(pdf["mid"].to_numpy(), kind, **options))
-
-    src = ticks.select("asset", "ts_us", "tick_id", "mid", "bid_volume", "ask_volume")
-    tagged = src.groupBy("asset").applyInPandas(assign, "asset string, ts_us long, tick_id long, mid double, bid_volume double, ask_volume double, bar long")
-    bars = ohlcv(tagged.where("bar >= 0"), "asset", "bar")
-    return bars.withColumn("seq", F.col("bar") + 1).withColumn("ts_us", F.col("last_us")).select(*_ORDER)
+    """The recurrence makes the bars as an asset's ticks pass in order; ticks after the last closed bar give none."""
+    src = ticks.select("asset", "ts_us", "tick_id", "mid", (F.col("bid_volume") + F.col("ask_volume")).alias("volume"))
+    return scan(src, ["ts_us", "tick_id"], "asset string, seq long, ts_us long, open double, high double, low double, close double, volume double, n_ticks long", lambda: BarMaker(kind, **options))
 
 
 def imbalance_bars(ticks: DataFrame, expected_ticks: float = 100, prob_buy: float = 0.5, alpha_t: float = 0.05, alpha_p: float = 0.05, min_threshold: float = 1) -> DataFrame:

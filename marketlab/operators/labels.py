@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlab.functions.kernels import cusum, ewm_std
 from marketlab.functions.rolling import by_asset, correlation, rolling
+from marketlab.functions.scans import Cusum, EwmStd, scan
 from marketlab.operators.bars import log_returns
 
 #: Detectors by family: bars -> events (asset, seq, ts_us, side).
@@ -37,27 +36,18 @@ def detector(family: str) -> Callable[..., DataFrame]:
 def ewm_volatility(bars: DataFrame, span: int = 100, min_periods: int | None = None, causal_shift: bool = True) -> DataFrame:
     """bars with ret and vol, the bias-corrected exponentially weighted deviation of log returns, shifted by one bar if causal."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        vol = pd.Series(ewm_std(pdf["ret"].to_numpy(float), span, min_periods), index=pdf.index)
-        return pdf.assign(vol=vol.shift(1) if causal_shift else vol)
-
     src = log_returns(bars)
     out = ", ".join(f"`{n}` {t}" for n, t in [*src.dtypes, ("vol", "double")])
-    return src.groupBy("asset").applyInPandas(run, out).withColumn("vol", F.nanvl("vol", F.lit(None).cast("double"))).withColumn("ret", F.nanvl("ret", F.lit(None).cast("double")))
+    vol = scan(src, ["seq"], out, lambda: EwmStd(span, min_periods, causal_shift))
+    return vol.withColumn("vol", F.nanvl("vol", F.lit(None).cast("double"))).withColumn("ret", F.nanvl("ret", F.lit(None).cast("double")))
 
 
 @register_alpha("cusum")
 def cusum_events(bars: DataFrame, vol_span: int = 100, threshold_multiplier: float = 1.0) -> DataFrame:
     """Symmetric CUSUM of log returns against a multiple of their volatility."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        pdf = pdf.assign(hit=cusum(pdf["ret"].to_numpy(float), threshold_multiplier * pdf["vol"].to_numpy(float)))
-        return pdf.loc[pdf["hit"] != 0, ["asset", "seq", "ts_us", "hit"]]
-
     with_vol = ewm_volatility(bars, vol_span).select("asset", "seq", "ts_us", "ret", "vol")
-    hits = with_vol.groupBy("asset").applyInPandas(run, "asset string, seq long, ts_us long, hit int")
+    hits = scan(with_vol, ["seq"], "asset string, seq long, ts_us long, hit int", lambda: Cusum(threshold_multiplier))
     return hits.select("asset", "seq", "ts_us", F.when(F.col("hit") > 0, "long").otherwise("short").alias("side"))
 
 
