@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -11,17 +13,18 @@ class Tree:
     def __init__(self, max_depth: int | None = 5, min_leaf: int = 5, max_features: int | None = None, rng: np.random.Generator | None = None):
         self.max_depth, self.min_leaf, self.max_features = max_depth or 64, min_leaf, max_features
         self.rng = rng or np.random.default_rng(0)
-        self.feature, self.cut, self.left, self.right, self.value = [], [], [], [], []
+        self.feature, self.cut, self.left, self.right, self.value, self.cover = [], [], [], [], [], []
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Tree:
         self._grow(x, y, w, np.arange(len(y)), 0)
         self.arrays = [np.array(a) for a in (self.feature, self.cut, self.left, self.right, self.value)]
+        self.covers = np.array(self.cover)
         return self
 
     def _grow(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rows: np.ndarray, depth: int) -> int:
         node, total = len(self.feature), float(w[rows].sum())
         p = float((w[rows] * y[rows]).sum()) / total if total > 0 else 0.0
-        for a, v in zip((self.feature, self.cut, self.left, self.right, self.value), (-1, 0.0, -1, -1, p)):
+        for a, v in zip((self.feature, self.cut, self.left, self.right, self.value, self.cover), (-1, 0.0, -1, -1, p, total)):
             a.append(v)
         if depth >= self.max_depth or len(rows) < 2 * self.min_leaf or p in (0.0, 1.0):
             return node
@@ -59,6 +62,37 @@ class Tree:
         return value[at]
 
 
+    def shapley(self, x: np.ndarray) -> np.ndarray:
+        """(rows, features): each feature's share of the prediction, by the weights of train rows where a feature is not known; exact.
+
+        A leaf of value v whose path asks about d features is a game: a known feature passes the row or not (o), an unknown one lets the share z of
+        weight through. A feature's share is v (o - z) times the sum over sets of the other features of the products of their o or z, which
+        depends on a set by its size only in the coefficients, so it is a product of d - 1 linear factors.
+        """
+        feature, cut, left, right, value = self.arrays
+        out = np.zeros((len(x), x.shape[1]))
+        todo: list[tuple[int, dict]] = [(0, {})]
+        while todo:
+            node, path = todo.pop()
+            f = int(feature[node])
+            if f >= 0:
+                for child, passes in ((int(left[node]), x[:, f] <= cut[node]), (int(right[node]), x[:, f] > cut[node])):
+                    o, z = path.get(f, (np.ones(len(x), bool), 1.0))
+                    share = self.covers[child] / self.covers[node] if self.covers[node] > 0 else 0.5
+                    todo.append((child, path | {f: (o & passes, z * share)}))
+                continue
+            d = len(path)
+            for f, (o, z) in path.items():
+                sums = np.zeros((d, len(x)))
+                sums[0] = 1
+                for k, (g, (p, q)) in enumerate((g, v) for g, v in path.items() if g != f):
+                    sums[1 : k + 2] = sums[1 : k + 2] * q + sums[: k + 1] * p
+                    sums[0] *= q
+                weight = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+                out[:, f] += value[node] * (o - z) * (weight @ sums)
+        return out
+
+
 class Forest:
     """Trees on bootstrap draws; a draw is given, or made uniformly. Weights are those of the rows drawn."""
 
@@ -76,3 +110,45 @@ class Forest:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return np.mean([t.predict(x) for t in self.trees], axis=0)
+
+    def shapley(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([t.shapley(x) for t in self.trees], axis=0)
+
+
+def sequential_bootstrap(t0: np.ndarray, t1: np.ndarray, n_samples: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Indices drawn in turn with a chance in proportion to the mean of 1 / (1 + draws that cover a point), and their uniqueness in the draw.
+
+    A horizon is a stretch of the grid of all t0 and t1, so its mean is a difference of prefix sums: a draw costs
+    the grid and the events once, not their product.
+    """
+    grid = np.unique(np.concatenate([t0, t1]))
+    a, b = np.searchsorted(grid, t0), np.searchsorted(grid, t1) + 1
+    cover, out = np.zeros(len(grid)), np.empty(n_samples, np.int64)
+    for k in range(n_samples):
+        p = np.concatenate([[0.0], np.cumsum(1 / (1 + cover))])
+        chance = np.maximum((p[b] - p[a]) / (b - a), 1e-12)
+        out[k] = rng.choice(len(t0), p=chance / chance.sum())
+        cover[a[out[k]] : b[out[k]]] += 1
+    p = np.concatenate([[0.0], np.cumsum(1 / np.maximum(cover, 1))])
+    return out, (p[b[out]] - p[a[out]]) / (b[out] - a[out])
+
+
+def sequential_draw(t0: np.ndarray, t1: np.ndarray, weight: np.ndarray | None, fraction: float):
+    """Rows drawn by sequential bootstrap, weighted by their uniqueness in the draw."""
+
+    def draw(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        rows, unique = sequential_bootstrap(t0, t1, max(1, int(len(t0) * fraction)), rng)
+        w = unique if weight is None else unique * weight[rows]
+        return rows, np.maximum(w, 1e-12)
+
+    return draw
+
+
+def uniform_draw(weight: np.ndarray):
+    """Rows drawn evenly, with their weights."""
+
+    def draw(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        rows = rng.integers(0, len(weight), len(weight))
+        return rows, np.maximum(weight[rows], 1e-12)
+
+    return draw

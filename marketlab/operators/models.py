@@ -11,40 +11,16 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.functions.trees import Forest
+from marketlab.functions.trees import Forest, sequential_bootstrap, sequential_draw, uniform_draw
 
+__all__ = ["boosted", "calibrate", "out_of_fold", "sequential_bootstrap", "target_shuffling"]
 
-def sequential_bootstrap(t0: np.ndarray, t1: np.ndarray, n_samples: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Indices drawn in turn with a chance in proportion to the mean of 1 / (1 + draws that cover a point), and their uniqueness in the draw.
 
-    A horizon is a stretch of the grid of all t0 and t1, so its mean is a difference of prefix sums: a draw costs
-    the grid and the events once, not their product.
-    """
-    grid = np.unique(np.concatenate([t0, t1]))
-    a, b = np.searchsorted(grid, t0), np.searchsorted(grid, t1) + 1
-    cover, out = np.zeros(len(grid)), np.empty(n_samples, np.int64)
-    for k in range(n_samples):
-        p = np.concatenate([[0.0], np.cumsum(1 / (1 + cover))])
-        chance = np.maximum((p[b] - p[a]) / (b - a), 1e-12)
-        out[k] = rng.choice(len(t0), p=chance / chance.sum())
-        cover[a[out[k]] : b[out[k]]] += 1
-    p = np.concatenate([[0.0], np.cumsum(1 / np.maximum(cover, 1))])
-    return out, (p[b[out]] - p[a[out]]) / (b[out] - a[out])
-
-
-def _forest_draw(t0: np.ndarray, t1: np.ndarray, weight: np.ndarray | None, fraction: float):
-    def draw(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        rows, unique = sequential_bootstrap(t0, t1, max(1, int(len(t0) * fraction)), rng)
-        w = unique if weight is None else unique * weight[rows]
-        return rows, np.maximum(w, 1e-12)
-
-    return draw
-
-
-def out_of_fold(data: DataFrame, roles: DataFrame, columns: list[str], sequential: bool = True, n_estimators: int = 50, max_depth: int | None = 5, min_leaf: int = 5, bootstrap_fraction: float = 1.0, seed: int = 0) -> DataFrame:
+def out_of_fold(data: DataFrame, roles: DataFrame, columns: list[str], sequential: bool = True, n_estimators: int = 50, max_depth: int | None = 5, min_leaf: int = 5, bootstrap_fraction: float = 1.0, seed: int = 0, weight: str | None = None) -> DataFrame:
     """(fold, event_id, y, p): test predictions of a forest for each fold; one task a fold. Folds with one class in train are skipped.
 
-    data: event_id, t0, t1, y, columns; roles (fold, event_id, role).
+    data: event_id, t0, t1, y, columns; roles (fold, event_id, role). weight: a column of data; it multiplies the uniqueness of
+    a sequential draw, and weighs the rows of a uniform one.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -53,11 +29,13 @@ def out_of_fold(data: DataFrame, roles: DataFrame, columns: list[str], sequentia
         out = pd.DataFrame({"fold": fold, "event_id": test["event_id"], "y": test["y"].astype("int32"), "p": 0.0})
         if train["y"].nunique() < 2 or test.empty:
             return out.iloc[:0]
-        draw = _forest_draw(train["t0"].to_numpy(float), train["t1"].to_numpy(float), None, bootstrap_fraction) if sequential else None
+        w = train["_weight"].to_numpy(float)
+        draw = sequential_draw(train["t0"].to_numpy(float), train["t1"].to_numpy(float), w, bootstrap_fraction) if sequential else uniform_draw(w)
         forest = Forest(n_estimators, max_depth, min_leaf, seed=seed + fold).fit(train[columns].to_numpy(float), train["y"].to_numpy(float), draw)
         return out.assign(p=forest.predict(test[columns].to_numpy(float)))
 
-    rows = data.select("event_id", "t0", "t1", "y", *columns).join(roles.where("role in ('train', 'test')").select("fold", "event_id", "role"), "event_id")
+    own = (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_weight")
+    rows = data.select("event_id", "t0", "t1", "y", *columns, own).join(roles.where("role in ('train', 'test')").select("fold", "event_id", "role"), "event_id")
     return rows.groupBy("fold").applyInPandas(run, "fold int, event_id long, y int, p double")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marketlab.functions.kernels import ffd, ffd_weights
 from marketlab.functions.rolling import by_asset
 from marketlab.functions.stats import adf_pvalue
+from marketlab.operators import features as X
 
 GRID = tuple(round(0.05 * i, 2) for i in range(1, 21))
 
@@ -109,6 +110,35 @@ def stationarity_gate(features: DataFrame, alpha: float = 0.05, tol: float = 1e-
     return kept.groupBy("asset", "feature").applyInPandas(change, "asset string, seq long, feature string, value double"), report
 
 
+def compute_features(
+    bars: DataFrame, events: DataFrame | None = None, windows: Sequence[int] = X.WINDOWS, entropy: Sequence[int] = X.ENTROPY_WINDOWS, ffill_limit: int = 5, enforce: bool = True, alpha: float = 0.05, fit_until: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The feature matrix (asset, seq, ts_us, features), and the report of stationarity_gate(); no report without enforce.
+
+    Features are built, filled and trimmed, made stationary or dropped, trimmed to the rows that all of an asset's
+    features have, and judged once more on what is left: a feature that fails then is dropped too. A column is kept if any asset keeps it, and is null
+    where an asset does not. events: only the rows of their bars are returned.
+    """
+    f = X.clean(X.raw_features(bars, windows, entropy), ffill_limit)
+    report = None
+    if enforce:
+        long, report = stationarity_gate(f, alpha, fit_until=fit_until)
+        kept = report.where("verdict <> 'dropped'").groupBy("asset").agg(F.count("*").alias("features"))
+        whole = long.groupBy("asset", "seq").agg(F.count("value").alias("n")).join(kept, "asset").where(F.col("n") == F.col("features")).select("asset", "seq")
+        long = long.join(whole, ["asset", "seq"], "left_semi")
+        fit = long if fit_until is None else long.where(F.col("seq") <= fit_until)
+        spread = fit.groupBy("asset", "feature").agg((F.max("value") - F.min("value")).alias("spread"))
+        again = adf(fit, "asset", "feature").join(spread, ["asset", "feature"]).where((F.col("spread") > 0) & (F.col("p_value").isNull() | (F.col("p_value") >= alpha)))
+        failed = again.select("asset", "feature", F.lit(True).alias("late"))
+        report = report.join(failed, ["asset", "feature"], "left").select("asset", "feature", F.when(F.col("late"), "dropped").otherwise(F.col("verdict")).alias("verdict"), F.when(F.col("late").isNull(), F.col("d")).alias("d"))
+        names = [c for c in f.columns if c not in ("asset", "seq", "ts_us")]
+        wide = long.join(failed, ["asset", "feature"], "left_anti").groupBy("asset", "seq").pivot("feature", names).agg(F.first("value"))
+        # a row for each feature
+        stay = {r["feature"] for r in report.where("verdict <> 'dropped'").select("feature").distinct().collect()}
+        f = f.select("asset", "seq", "ts_us").join(wide.select("asset", "seq", *[c for c in names if c in stay]), ["asset", "seq"])
+    return (f if events is None else X.at_events(f, events)), report
+
+
 def truncation_hash(df: DataFrame, *columns: str) -> DataFrame:
     """(asset, hash): SHA-256 over the named columns of each asset in order of seq, for equality of whole series."""
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])

@@ -13,6 +13,9 @@ from marketlab.functions import stats
 from marketlab.functions.rolling import correlation
 
 
+RANGES = 1024
+
+
 def average_rank(c: str, *keys: str) -> Column:
     """Rank from 1 within keys, ties at their mean."""
     w = Window.partitionBy(*keys)
@@ -59,13 +62,16 @@ def bonferroni(alpha: float, n: int) -> float:
 def holm(p_values: DataFrame, alpha: float = 0.05) -> DataFrame:
     """p_values (name, p) with threshold and rejected: step-down, strict, stops at the first failure.
 
-    Hypotheses are few (one for each strategy), so they are ordered in one window.
+    Ranks come from the counts of 1,024 ranges of p and windows within a range; the first failure is a minimum over all, so no window holds every hypothesis.
     """
-    w = Window.orderBy("p", "name")
-    n = p_values.agg(F.count("*").alias("m"))
-    r = p_values.join(F.broadcast(n)).withColumn("k", F.row_number().over(w)).withColumn("threshold", alpha / (F.col("m") - F.col("k") + 1))
-    passes = F.when(F.col("p") < F.col("threshold"), 1).otherwise(0)
-    return r.withColumn("rejected", F.min(passes).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).select("name", "p", "threshold", "rejected")
+    keyed = p_values.withColumn("range", F.least(F.greatest(F.floor(F.col("p") * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int"))
+    counts = keyed.groupBy("range").agg(F.count("*").alias("n"))  # at most RANGES rows
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("m", F.sum("n").over(Window.partitionBy())).drop("n")
+    w = Window.partitionBy("range").orderBy("p", "name")
+    r = keyed.join(F.broadcast(placed), "range").withColumn("k", F.col("before") + F.row_number().over(w)).withColumn("threshold", alpha / (F.col("m") - F.col("k") + 1))
+    first = r.agg(F.min(F.when(F.col("p") < F.col("threshold"), None).otherwise(F.col("k"))).alias("failed"))
+    return r.join(F.broadcast(first)).select("name", "p", "threshold", (F.col("failed").isNull() | (F.col("k") < F.col("failed"))).alias("rejected"))
 
 
 def scores(predictions: DataFrame, *keys: str, clip: float = 1e-6) -> DataFrame:
@@ -116,7 +122,7 @@ def bet_size(p: Column | str) -> Column:
 
     @pandas_udf("double")
     def size(p: pd.Series) -> pd.Series:
-        return p.map(lambda x: stats.bet_size(x) if pd.notna(x) else 0.0)
+        return pd.Series(stats.bet_sizes(p.to_numpy(float)), index=p.index)
 
     return size(p)
 
@@ -174,7 +180,7 @@ def chow_test(series: DataFrame, breakpoint_frac: float = 0.5, alpha: float = 0.
     """chow() with critical and is_break."""
     @pandas_udf("double")
     def critical(n: pd.Series) -> pd.Series:
-        return n.map(lambda k: stats.f_quantile(1 - alpha, 2, k - 4))
+        return n.map({k: stats.f_quantile(1 - alpha, 2, k - 4) for k in n.unique()})
 
     return chow(series, breakpoint_frac).withColumn("critical", critical("n")).withColumn("is_break", F.col("f_stat") > F.col("critical"))
 
