@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlab.functions import stats
 from marketlab.functions.kernels import ffd_weights
 from marketlab.operators import bars as B
+from marketlab.operators import execution as E
 from marketlab.operators import features as X
 from marketlab.operators import folds as C
 from marketlab.operators import labels as L
@@ -19,6 +22,7 @@ from marketlab.operators import selection as S
 from marketlab.operators import stationarity as D
 from marketlab.operators import validation as V
 from marketlab.plans import research as R
+from marketlab.plans import strategy as T
 from marketlab.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +85,12 @@ def tick_scan(spark, sf_dir):
     return rounded(t.where((F.col("ts_us") >= lo) & (F.col("ts_us") < hi)).select("asset", "ts_us", "tick_id", "mid", "bid_volume", "ask_volume"))
 
 
+@query("select event_id, epoch_us(ts) as ts_us, value from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12'")
+def event_window(spark, sf_dir):
+    found = views.load_ticks(spark, f"{sf_dir}/events.parquet", date(2024, 1, 10), date(2024, 1, 12), ["event_id", "ts", "value"], time="ts")
+    return found.select("event_id", views.ts_us("ts").alias("ts_us"), "value")
+
+
 _BAR_OUT = "asset, seq, ts_us, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(volume, 6) as volume, n_ticks"
 
 
@@ -340,7 +350,7 @@ def adf_by_asset(spark, sf_dir):
 
 @query()
 def optimal_d(spark, sf_dir):
-    return rounded(D.find_optimal_d(hourly(spark, sf_dir).select("asset", "seq", F.log("close").alias("value")), grid=(0.2, 0.4, 0.6, 0.8, 1.0), tol=1e-3))
+    return rounded(D.find_optimal_d(hourly(spark, sf_dir).select("asset", "seq", F.log("close").alias("value")), tol=1e-3))
 
 
 HORIZONS = """h as (select o_orderkey as event_id, epoch_us(o_orderdate) // 86400000000 as t0, greatest(epoch_us(o_orderdate), m) // 86400000000 as t1
@@ -501,7 +511,14 @@ def sharpe_moments(spark, sf_dir):
     return rounded(V.sharpe_moments(B.log_returns(hourly(spark, sf_dir)), "asset"))
 
 
-@query()
+#: The normal distribution function by Simpson's rule on 200 steps from 0.
+PHI = lambda z: f"(0.5 + ({z}) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 201), lambda k: (case when k in (0, 200) then 1 when k % 2 = 1 then 4 else 2 end) * exp(-0.5 * power(({z}) * k / 200.0, 2)))) / 600.0)"
+
+
+@query(f"""with {RET}, m as (select asset, count(ret) as n, avg(ret) as mean, stddev_samp(ret) as std from r group by 1),
+k as (select asset, m.n, any_value(mean / std) as sr, avg(power((ret - mean) / std, 3)) as g3, avg(power((ret - mean) / std, 4)) as g4 from r join m using (asset) where ret is not null group by 1, 2),
+z as (select asset, sr, (sr - {stats.expected_max_sharpe(100, 0.02)!r}) / sqrt(greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, 1e-12) / (n - 1)) as z from k)
+select asset, round(sr, 6) as sharpe, round({PHI('z')}, 6) as dsr, false as quarantined from z""")
 def deflated_sharpe(spark, sf_dir):
     return rounded(V.deflated_sharpe(B.log_returns(hourly(spark, sf_dir)), 100, 0.02, "asset"))
 
@@ -551,17 +568,47 @@ def gsadf_stat(spark, sf_dir):
     return rounded(G.gsadf_statistic(B.time_bars(views.ticks(spark, sf_dir), "4h").select("asset", "seq", F.log("close").alias("value"))))
 
 
-@query()
+@query(f"""with {PRED}, c as (select source, p, least(greatest(p, 1e-5), 1 - 1e-5) as q from p), z as (select *, least((q - 0.5) / sqrt(q * (1 - q)), 8.0) as z from c)
+select source, round(p, 6) as p, round(case when p > 0.5 then 2 * {PHI('z')} - 1 else 0 end, 6) as bet from z""")
 def bet_sizes(spark, sf_dir):
     p = predictions(spark, sf_dir)
     return rounded(p.select("source", "p", V.bet_size("p").alias("bet")))
 
 
-@query("""with t as (select l_suppkey % 7 as asset, l_partkey % 3 as family, l_linenumber as k, count(*) as n from lineitem group by 1, 2, 3)
-select asset, family, count(*) as trials, sum(n)::bigint as n_rows from t group by 1, 2""")
+@query()
+def batch_bets(spark, sf_dir):
+    """Each source's signals sized together."""
+    return rounded(E.size_batches(predictions(spark, sf_dir).select("source", "p"), "source"))
+
+
+@query("""with o as (select o_custkey % 10 as account, 'a' || (o_orderkey % 7) as asset, o_orderkey as seq, case when o_orderkey % 3 = 0 then 'close' else 'open' end as action,
+  case when o_orderkey % 2 = 0 then 'long' else 'short' end as side, (o_orderkey % 97 + 1) / 10.0 as size, o_totalprice as price, o_totalprice / 100 as margin from orders),
+l as (select *, lag(action) over w = 'open' as had, lag(side) over w as s, lag(size) over w as z, lag(price) over w as p, lag(margin) over w as m from o window w as (partition by account, asset order by seq)),
+c as (select *, case when action = 'open' then margin else 0 end - case when had then m else 0 end as change from l)
+select account, asset, seq, round(case when action = 'close' and had then p end, 6) as entry_price, round(case when action = 'close' and had then case when s = 'long' then 1 else -1 end * (price - p) * z end, 4) as pnl,
+  round(sum(change) over (partition by account order by seq), 4) as held from c""")
+def order_ledger(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    orders = o.select(
+        (F.col("o_custkey") % 10).alias("account"), F.concat(F.lit("a"), (k % 7).cast("string")).alias("asset"), k.alias("seq"), F.when(k % 3 == 0, "close").otherwise("open").alias("action"),
+        F.when(k % 2 == 0, "long").otherwise("short").alias("side"), ((k % 97 + 1) / 10.0).alias("size"), price.alias("price"), (price / 100).alias("margin"),
+    )
+    done = E.ledger(orders)
+    return done.select("account", "asset", "seq", (F.round("entry_price", 6) + 0.0).alias("entry_price"), (F.round("pnl", 4) + 0.0).alias("pnl"), (F.round("held", 4) + 0.0).alias("held"))
+
+
+@query("""with t as (select 'a' || (l_suppkey % 7) as asset, 'f' || (l_partkey % 3) as family, l_linenumber as k, count(*) as n from lineitem group by 1, 2, 3)
+select asset, family, count(*) as trials, sum(n)::double as total, count(*) filter (k = 1)::bigint as deployed from t group by 1, 2""")
 def registry_trials(spark, sf_dir):
-    t = views.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("asset"), (F.col("l_partkey") % 3).alias("family"), "l_linenumber").agg(F.count("*").alias("n"))
-    return t.groupBy("asset", "family").agg(F.count("*").alias("trials"), F.sum("n").alias("n_rows"))
+    """Experiments recorded, recorded again in vain, some of them deployed, and counted."""
+    t = views.table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("a"), (F.col("l_suppkey") % 7).cast("string")).alias("asset"), F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string")).alias("family"), "l_linenumber").agg(F.count("*").alias("n"))
+    found = t.select("asset", "family", F.create_map(F.lit("k"), F.col("l_linenumber").cast("double")).alias("params"), F.lit("completed").alias("status"), F.col("n").cast("double").alias("metric"))
+    registry = R.Registry(spark, f"{views.shared_folder(spark)}/registry-{uuid.uuid4().hex[:12]}")
+    registry.record(found)
+    registry.record(found.withColumn("metric", F.lit(0.0)))
+    registry.update_all(registry.current().where("params['k'] = 1").select("experiment_id"), deployed=True)
+    return registry.current().groupBy("asset", "family").agg(F.count("*").alias("trials"), F.sum("metric").alias("total"), F.count_if("deployed").alias("deployed"))
 
 
 def meta_data(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -572,29 +619,65 @@ def meta_data(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query()
 def meta_out_of_fold(spark, sf_dir):
     data, roles = meta_data(spark, sf_dir)
-    return rounded(M.out_of_fold(data, roles, _NAMES, n_estimators=10))
+    return rounded(M.out_of_fold(data, roles, _NAMES))
 
 
 @query()
 def clustered_importance(spark, sf_dir):
     data, roles = meta_data(spark, sf_dir)
     clusters = S.cluster_features(S.correlation_distance(data, _NAMES), _NAMES)
-    return rounded(S.clustered_mda(data, roles, _NAMES, clusters, n_estimators=10))
+    return rounded(S.clustered_mda(data, roles, _NAMES, clusters))
 
 
 @query()
 def single_importance(spark, sf_dir):
     data, roles = meta_data(spark, sf_dir)
-    return rounded(S.single_feature_importance(data, roles, _NAMES, n_estimators=5))
+    return rounded(S.single_feature_importance(data, roles, _NAMES))
 
 
 @query()
 def shuffled_targets(spark, sf_dir):
     data, roles = meta_data(spark, sf_dir)
-    return rounded(M.target_shuffling(data, roles, _NAMES[:4], n_shuffles=6, n_estimators=5))
+    return rounded(M.target_shuffling(data, roles, _NAMES))
 
 
 @query()
 def donchian_sweep(spark, sf_dir):
     bars = B.time_bars(views.ticks(spark, sf_dir), "4h")
-    return rounded(R.sweep(bars, "donchian", vol_span=20, axes=(("window", (10, 20, 30)), ("vertical_bars", (5, 10, 15)))))
+    return rounded(R.sweep(bars, "donchian", vol_span=20))
+
+
+@query()
+def meta_walk_forward(spark, sf_dir):
+    """Calibrated walk-forward models and their diagnostics."""
+    data, _ = meta_data(spark, sf_dir)
+    return rounded(T.fold_diagnostics(T.train_meta(data, _NAMES, n_estimators=30)))
+
+
+@query()
+def strategy_gate(spark, sf_dir):
+    """The verdict on a cohort of two forests and a boosted model."""
+    data, _ = meta_data(spark, sf_dir)
+    data = data.withColumn("ret", F.when(F.col("y") == 1, 0.01).otherwise(-0.01) + F.col("x0") / 100)
+    cohort = [T.Candidate(f"forest_{d}", "forest", {"n_estimators": 20, "max_depth": d}) for d in (3, 5)] + [T.Candidate("boosted", "boosted", {"n_estimators": 20})]
+    return rounded(T.validate_strategy(data, _NAMES, cohort, n_trials=50, std_of_trials=0.1))
+
+
+@query()
+def regime_checks(spark, sf_dir):
+    series = B.time_bars(views.ticks(spark, sf_dir), "4h").select("asset", "seq", F.log("close").alias("value"))
+    return rounded(G.check_regime(series)[0])
+
+
+@query()
+def shap_drift(spark, sf_dir):
+    """Importances of a forest on its train rows and on later ones, for each of three groups."""
+    data, _ = meta_data(spark, sf_dir)
+    data = data.withColumn("grp", F.col("event_id") % 3).withColumn("role", F.when(F.col("event_id") % 5 < 3, "train").otherwise("live"))
+    return rounded(G.check_drift(G.shap_importance(data, _NAMES, "grp"), "grp")[0])
+
+
+@query()
+def computed_features(spark, sf_dir):
+    """The verdict on every feature: passed, rescued or dropped."""
+    return rounded(D.compute_features(hourly(spark, sf_dir))[1])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from marketlab.operators import bars as B
 from marketlab.operators import labels as L
 from marketlab.operators import validation as V
 from marketlab.functions.rolling import by_asset, rolling
-from marketlab.sources.views import ticks
+from marketlab.sources.views import shared_folder, ticks, verify_schema
 
 
 def rolling_volatility(bars: DataFrame, span: int = 20) -> DataFrame:
@@ -39,19 +41,31 @@ class HoldingRegime:
     max_hold_h: float
     profit_take: float
 
+    def __post_init__(self):
+        if self.mean_hold_h <= 0 or self.profit_take <= 0 or self.max_hold_h < self.mean_hold_h:
+            raise ValueError("holding times and the multiple are positive, and the longest is at least the mean")
+
     @property
     def bar_hours(self) -> float:
         return self.mean_hold_h / self.profit_take**2
 
     @property
     def vertical_bars(self) -> int:
-        return round(self.max_hold_h / self.bar_hours)
+        return max(1, round(self.max_hold_h / self.bar_hours))
 
     @property
     def target_bars(self) -> float:
         return self.span_days * 24 / self.bar_hours
 
 
+#: Mean and longest holding in hours, for a span of 90 days and a multiple of 2.
+REGIMES = {
+    "scalp": HoldingRegime("scalp", 90, 1, 4, 2),
+    "day": HoldingRegime("day", 90, 6, 24, 2),
+    "swing": HoldingRegime("swing", 90, 120, 480, 2),
+    "position": HoldingRegime("position", 90, 480, 2000, 2),
+}
+
 #: Parameter axes by family: (name, values), (name, values).
 GRIDS = {
     "cusum": (("threshold_multiplier", (1.0, 1.5, 2.0, 2.5, 3.0)), ("vol_span", (20, 50, 100, 150, 200, 300))),
@@ -70,10 +84,17 @@ def grid(spark: SparkSession, family: str) -> DataFrame:
 def sweep(bars: DataFrame, family: str, vol_span: int = 100, least_events: int = 1, axes: tuple | None = None) -> DataFrame:
     """(i, j, n, score): mean over deviation of signed label returns at every grid point; null under least_events labels.
 
-    Volatility is computed once and reused; every grid point is one branch of a single plan.
+    Bars and volatility are written once, to the shared folder, and read by every grid point, one branch each of a single plan.
     """
     (na, va), (nb, vb) = axes or GRIDS[family]
-    vol = L.ewm_volatility(bars, vol_span).select("asset", "seq", "vol")
+    spark, folder = bars.sparkSession, f"{shared_folder(bars.sparkSession)}/sweep-{uuid.uuid4().hex[:12]}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    bars = kept(bars, "bars")
+    vol = kept(L.ewm_volatility(bars, vol_span).select("asset", "seq", "vol"), "vol")
     rows = None
     for i, a in enumerate(va):
         for j, b in enumerate(vb):
@@ -122,11 +143,14 @@ class Registry:
             raise ValueError(f"status must be one of {self.STATUS}")
         keyed = experiments.withColumn("params_hash", parameters_hash(F.col("params"))).dropDuplicates(["asset", "family", "params_hash"])
         new = keyed.join(self.rows().select("asset", "family", "params_hash"), ["asset", "family", "params_hash"], "left_anti")
-        new = new.select(F.expr("uuid()").alias("experiment_id"), "asset", "family", "params", "params_hash", "status", F.col("metric").cast("double").alias("metric"), F.lit(False).alias("deployed"), F.lit(0).cast("long").alias("version"), F.current_timestamp().alias("at")).cache()
-        n = new.count()
-        if n:
-            new.write.mode("append").parquet(self.path)
-        new.unpersist()
+        new = new.select(F.sha2(F.concat_ws("|", "asset", "family", "params_hash"), 256).alias("experiment_id"), "asset", "family", "params", "params_hash", "status", F.col("metric").cast("double").alias("metric"), F.lit(False).alias("deployed"), F.lit(0).cast("long").alias("version"), F.current_timestamp().alias("at")).persist()
+        try:
+            # ids are digests of the key, so a row that is made again has the same one
+            n = new.count()
+            if n:
+                new.write.mode("append").parquet(self.path)
+        finally:
+            new.unpersist()
         return n
 
     def update(self, experiment_id: str, **changes) -> None:
@@ -137,6 +161,18 @@ class Registry:
         row = row.withColumns({k: F.lit(v) for k, v in changes.items()} | {"version": F.col("version") + 1, "at": F.current_timestamp()})
         self.spark.createDataFrame(row.select([c.split()[0] for c in self.SCHEMA.split(", ")]).collect(), self.SCHEMA).write.mode("append").parquet(self.path)
 
+    def update_all(self, ids: DataFrame, **changes) -> None:
+        """Append a changed row for each of the ids (experiment_id) that there are."""
+        names = [c.split()[0] for c in self.SCHEMA.split(", ")]
+        rows = self.current().join(ids, "experiment_id", "left_semi").withColumns({k: F.lit(v) for k, v in changes.items()} | {"version": F.col("version") + 1, "at": F.current_timestamp()}).select(names)
+        # read before anything is written to the same folder
+        rows = rows.persist()
+        try:
+            if rows.count():
+                rows.write.mode("append").parquet(self.path)
+        finally:
+            rows.unpersist()
+
     def trials(self, **where: str) -> DataFrame:
         df = self.current()
         for k, v in where.items():
@@ -173,13 +209,31 @@ def read_run(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
-def report(summary: DataFrame, title: str) -> str:
-    """A small result as a Markdown table."""
+def report(summary: DataFrame, title: str, survivors: DataFrame | None = None) -> str:
+    """A small result as a Markdown table, and the configurations that survived as a second one."""
+    if survivors is not None:
+        return report(summary, title) + "\n" + report(survivors, "Survivors").replace("# ", "## ", 1)
     head, rows = summary.columns, summary.collect()
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows), ""])
 
 
+def doctor(spark: SparkSession, paths: dict[str, str], registry: Registry | None = None, max_window: int = 200) -> DataFrame:
+    """(check, ok, detail): whether each tick file can be read with the columns it must have and rows enough, and whether the registry can be read."""
+    rows = []
+    for name, path in sorted(paths.items()):
+        try:
+            df = spark.read.parquet(path)
+            verify_schema(df)
+            n, least = df.count(), 50 * (max_window + 500)
+            rows.append((name, n >= least, f"{n} rows, {least} needed"))
+        except (ValueError, AnalysisException) as e:
+            rows.append((name, False, str(e).splitlines()[0]))
+    if registry is not None:
+        rows.append(("registry", True, f"{registry.total_trials()} experiments"))
+    return spark.createDataFrame(rows, "check string, ok boolean, detail string")
+
+
 def check_warmup(ticks_df: DataFrame, max_window: int = 200) -> DataFrame:
     """(asset, n, ok): at least 50 * (max_window + 500) ticks."""
     return ticks_df.groupBy("asset").agg(F.count("*").alias("n")).withColumn("ok", F.col("n") >= 50 * (max_window + 500))

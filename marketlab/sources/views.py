@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,28 @@ from pyspark.sql import functions as F
 TICK_COLUMNS = ("timestamp", "ask", "bid", "ask_volume", "bid_volume")
 
 
+@dataclass(frozen=True)
+class Asset:
+    """An instrument and where its ticks are: partitions by asset, those of the out-of-sample period in a folder of their own."""
+
+    symbol: str
+    asset_class: str
+
+    def data_path(self, root: str) -> str:
+        return f"{root.rstrip('/')}/asset={self.symbol}"
+
+    def oos_data_path(self, root: str) -> str:
+        return f"{root.rstrip('/')}/out_of_sample/asset={self.symbol}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; a local master may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or "file:///tmp/checkpoints/marketlab").rstrip("/")
+
+
 def micros(value: date | datetime) -> int:
     """Microseconds of the epoch; a date or naive time counts as UTC."""
     if not isinstance(value, datetime):
@@ -20,18 +43,18 @@ def micros(value: date | datetime) -> int:
     return round(value.timestamp() * 1_000_000)
 
 
-def load_ticks(spark: SparkSession, path: str, start: date | datetime | None = None, end: date | datetime | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Scan a Parquet tick file: rows with start <= timestamp < end, then the named columns. Both reach the scan.
+def load_ticks(spark: SparkSession, path: str, start: date | datetime | None = None, end: date | datetime | None = None, columns: Sequence[str] | None = None, time: str = "timestamp") -> DataFrame:
+    """Scan a Parquet tick file: rows with start <= time < end, then the named columns. Both reach the scan.
 
     A path that does not exist raises Spark's AnalysisException at once.
     """
     df = spark.read.parquet(path)
-    kind = dict(df.dtypes).get("timestamp")
+    kind = dict(df.dtypes).get(time)
     literal = (lambda t: F.timestamp_micros(F.lit(micros(t)))) if kind == "timestamp" else (lambda t: F.timestamp_micros(F.lit(micros(t))).cast("timestamp_ntz"))
     if start is not None:
-        df = df.where(F.col("timestamp") >= literal(start))
+        df = df.where(F.col(time) >= literal(start))
     if end is not None:
-        df = df.where(F.col("timestamp") < literal(end))
+        df = df.where(F.col(time) < literal(end))
     return df.select(*columns) if columns else df
 
 
