@@ -83,9 +83,9 @@ def cusum(returns: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def lz_phrases(s: list[int]) -> int:
+def lz_phrases(s: list[int] | str) -> int:
     """Phrases of the Lempel-Ziv (1976) parse: each the shortest that does not occur in what precedes its last symbol."""
-    text = "".join(chr(65 + x) for x in s)
+    text = s if isinstance(s, str) else "".join(chr(65 + x) for x in s)
     n, at, phrases = len(text), 0, 0
     while at < n:
         length = 1
@@ -96,7 +96,7 @@ def lz_phrases(s: list[int]) -> int:
     return phrases
 
 
-def lz_complexity(s: list[int], n_bins: int) -> float:
+def lz_complexity(s: list[int] | str, n_bins: int) -> float:
     """Phrases, and one more, as a share of what a random sequence of that length over n_bins symbols has."""
     return (lz_phrases(s) + 1) * math.log(len(s)) / (math.log(n_bins) * len(s))
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from marketlab.functions.kernels import InformationBars
+from marketlab.functions.kernels import InformationBars, lz_complexity
 
 
 def scan(df: DataFrame, order: list[str], schema: str, fresh: Callable[[], object], key: str = "asset") -> DataFrame:
@@ -117,3 +117,44 @@ class Cusum:
                 hits[i] = 1 if self.up >= level else -1
                 self.up = self.down = 0.0
         return rows.assign(hit=hits).loc[hits != 0, ["asset", "seq", "ts_us", "hit"]]
+
+
+class Entropies:
+    """Adds x_bin{n} and x_lz{n} to rows with x_ret, for each window n.
+
+    x_bin: the rank of the return among the n up to it, in bins from 0; null where there are fewer rows, the return is null or under two of them are
+    known. x_lz: Lempel-Ziv complexity of the n bins before the row; null unless all are known. Held are the last returns and bins.
+    """
+
+    def __init__(self, windows: Sequence[int], bins: int):
+        self.windows, self.bins = tuple(windows), bins
+        self.values = np.zeros(0)
+        self.texts = dict.fromkeys(self.windows, "")
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        # to 12 digits, so that ties don't hang on the last bit of a logarithm
+        x = np.round(rows["x_ret"].to_numpy(float), 12)
+        every, out = np.concatenate([self.values, x]), {}
+        for n in self.windows:
+            bins = np.full(len(x), -1, np.int64)
+            first = max(0, n - 1 - len(self.values))
+            if first < len(x):
+                frames = np.lib.stride_tricks.sliding_window_view(every, n)[-(len(x) - first) :]
+                own = x[first:]
+                known = (~np.isnan(frames)).sum(axis=1)
+                rank = (frames < own[:, None]).sum(axis=1)
+                good = ~np.isnan(own) & (known >= 2)
+                bins[first:] = np.where(good, np.minimum(rank * self.bins // np.maximum(known, 1), self.bins - 1), -1)
+            # a letter for each bin, a dot for none
+            text = self.texts[n] + "".join(chr(65 + k) if k >= 0 else "." for k in bins.tolist())
+            before = len(self.texts[n])
+            lz = [math.nan] * len(x)
+            for i in range(len(x)):
+                frame = text[max(0, before + i - n) : before + i]
+                if len(frame) == n and "." not in frame:
+                    lz[i] = lz_complexity(frame, self.bins)
+            self.texts[n] = text[-n:]
+            out[f"x_bin{n}"] = pd.Series(bins, index=rows.index).where(bins >= 0).astype("Int64")
+            out[f"x_lz{n}"] = lz
+        self.values = every[-(max(self.windows) - 1) :]
+        return rows.assign(**out)

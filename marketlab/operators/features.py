@@ -1,6 +1,7 @@
 """Microstructure features over bars. Each is lagged by one bar, and null where its frame is not full.
 
-All frames share one window specification (asset, seq), so a whole feature matrix costs one exchange and one sort.
+All frames share one window specification (asset, seq), so a whole feature matrix costs one exchange and one sort; ranks and their complexity
+are made in a pass over the bars in order, which costs another.
 Families: roll, corwin_schultz, ofi, hasbrouck, kyle, amihud, shannon, lempel_ziv; columns are {family}_w{window}.
 """
 
@@ -10,13 +11,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from marketlab.functions.kernels import lz_complexity
 from marketlab.functions.rolling import by_asset, forward_fill, frame, rolling
+from marketlab.functions.scans import Entropies, scan
 
 WINDOWS = (10, 20, 30, 50, 75, 100, 150, 200)
 ENTROPY_WINDOWS = (50, 100, 150, 200, 250)
@@ -94,14 +93,10 @@ def amihud(n: int) -> Column:
     return _slope("x_abs", "x_value", n)
 
 
-def quantile_bin(c: str, n: int, bins: int = BINS) -> Column:
-    """Rank of the value among those of its frame, in bins from 0; null where the frame is short, the value null or under two values known."""
-    f = frame(W(), n)
-    # to 12 digits, so that ties don't hang on the last bit of a logarithm
-    values = F.collect_list(F.round(c, 12)).over(f)
-    rank = F.size(F.filter(values, lambda v: v < F.round(c, 12)))
-    known, rows = F.count(c).over(f), F.count(F.lit(1)).over(f)
-    return F.when((rows == n) & F.col(c).isNotNull() & (known >= 2), F.least(F.floor(F.try_divide(rank * bins, known)), F.lit(bins - 1)))
+def with_bins(base: DataFrame, windows: Sequence[int], bins: int = BINS) -> DataFrame:
+    """base with x_bin{n} and x_lz{n} for each window n: ranks of x_ret in bins, and the complexity of the bins before, made as an asset's bars pass in order."""
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in base.dtypes), *(f"x_bin{n} long, x_lz{n} double" for n in windows)])
+    return scan(base, ["seq"], schema, lambda: Entropies(windows, bins))
 
 
 def shannon(bin_col: str, n: int, bins: int = BINS) -> Column:
@@ -116,13 +111,9 @@ def shannon(bin_col: str, n: int, bins: int = BINS) -> Column:
     return F.when((rows == n) & (known > 0), reduce(lambda a, b: a + b, terms))
 
 
-def lempel_ziv(bin_col: str, n: int, bins: int = BINS) -> Column:
-    @pandas_udf("double")
-    def parse(frames: pd.Series) -> pd.Series:
-        return frames.map(lambda s: lz_complexity(list(s), bins) if s is not None else None)
-
-    f = frame(W(), n, 1)
-    return parse(F.when(F.count(bin_col).over(f) == n, F.collect_list(bin_col).over(f)))
+def lempel_ziv(bin_col: str, n: int) -> Column:
+    """Complexity of the bins of the frame, null unless all are known; with_bins() makes it beside the bins."""
+    return F.nanvl(F.col(bin_col.replace("x_bin", "x_lz")), F.lit(None).cast("double"))
 
 
 @dataclass(frozen=True)
@@ -163,7 +154,7 @@ def raw_features(bars: DataFrame, windows: Sequence[int] = WINDOWS, entropy: Seq
     wanted = [s for s in _REGISTRY.values() if families is None or s.family in families]
     b = base_columns(bars)
     if any(s.entropy for s in wanted):
-        b = b.withColumns({f"x_bin{n}": quantile_bin("x_ret", n) for n in entropy})
+        b = with_bins(b, entropy)
     cols = {f"{s.family}_w{n}": s.build(n) for s in wanted if not s.entropy for n in windows}
     cols |= {f"{s.family}_w{n}": s.build(f"x_bin{n}", n) for s in wanted if s.entropy for n in entropy}
     return b.select("asset", "seq", "ts_us", *[c.alias(n) for n, c in cols.items()])

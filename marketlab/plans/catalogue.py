@@ -281,7 +281,7 @@ q as (select asset, seq, case when k = 50 and ret is not null and known >= 2 the
 @query(f"with {BINS} select * from q")
 def quantile_bins(spark, sf_dir):
     b = X.base_columns(hourly(spark, sf_dir))
-    return b.select("asset", "seq", X.quantile_bin("x_ret", 50).alias("bin"))
+    return X.with_bins(b, (50,)).select("asset", "seq", F.col("x_bin50").alias("bin"))
 
 
 _P = " + ".join(f"case when count(*) filter (bin = {k}) over w > 0 then -(count(*) filter (bin = {k}) over w / cast(count(bin) over w as double)) * log2(count(*) filter (bin = {k}) over w / cast(count(bin) over w as double)) else 0 end" for k in range(5))
