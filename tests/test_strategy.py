@@ -274,3 +274,20 @@ def test_trials_and_certification(spark, tmp_path):
     assert {x.plugin_family for x in labels.select("plugin_family").distinct().collect()} <= {"donchian", "bollinger"} and registry.total_trials() == 2
     years = T.periods_per_year(spark.createDataFrame([("a", 0), ("a", 31_557_600_000_000), ("b", 5)], "asset string, ts_us long"))
     assert {x.asset: round(x.periods, 6) for x in years.collect()} == {"a": 2.0, "b": 252.0}
+
+
+def test_ranks_and_complexity_in_batches_equal_frames():
+    r = np.random.default_rng(13)
+    ret = np.round(r.standard_normal(300) / 100, 3)
+    ret[[0, 40, 41, 200]] = np.nan
+    rows = pd.DataFrame({"asset": "a", "seq": np.arange(300), "x_ret": ret})
+    got = in_parts(scans.Entropies((7, 30), 4), rows, [1, 2, 3, 100, 194])
+    for n in (7, 30):
+        bins = []
+        for t in range(300):
+            frame = ret[max(0, t - n + 1) : t + 1]
+            known = int((~np.isnan(frame)).sum())
+            bins.append(min(int((frame < ret[t]).sum()) * 4 // known, 3) if len(frame) == n and not np.isnan(ret[t]) and known >= 2 else None)
+        assert [None if pd.isna(b) else int(b) for b in got[f"x_bin{n}"]] == bins
+        want = [kernels.lz_complexity(bins[t - n : t], 4) if t >= n and None not in bins[t - n : t] else math.nan for t in range(300)]
+        assert np.allclose(got[f"x_lz{n}"], want, equal_nan=True) and not np.isnan(want).all()
