@@ -3,31 +3,57 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.functions.rolling import correlation
 from marketlab.functions.stats import t_sf
 from marketlab.functions.trees import Forest
 
 EDGES = "fi string, fj string, rho double, d double"
 
 
+def _cross_sums(columns: list[str], means: list[float]):
+    """(i, j, n, sx, sy, sxx, syy, sxy) for i < j: sums over a partition's rows that have both columns, less their means; four matrix products a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(columns)
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float) - means
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            m = m.astype(float)
+            sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.triu_indices(k, 1)
+        n, one, square, cross = sums
+        values = [i.astype(np.int32), j.astype(np.int32), n[i, j], one[i, j], one[j, i], square[i, j], square[j, i], cross[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    return run
+
+
 def correlation_distance(df: DataFrame, columns: list[str], min_std: float = 1e-12) -> DataFrame:
-    """(fi, fj, rho, d) for fi < fj: d = sqrt((1 - rho) / 2); a column without spread has rho 0.
+    """(fi, fj, rho, d) for fi < fj: d = sqrt((1 - rho) / 2); a column without spread has rho 0. Rows count for a pair if they have both.
 
-    One aggregate over the data for all pairs, then a melt of its single row.
+    One aggregate of means and spreads, and one pass of matrix products; a partition sends a row for each pair.
     """
-    spread = [F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]
-    pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(*spread, *[correlation(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    ok = lambda i: F.coalesce(F.col(f"s{i}") > min_std, F.lit(False))
-    items = [F.struct(F.lit(columns[i]).alias("fi"), F.lit(columns[j]).alias("fj"), F.when(ok(i) & ok(j), F.least(F.greatest(F.col(f"r{i}_{j}"), F.lit(-1.0)), F.lit(1.0))).otherwise(0.0).alias("rho")) for i, j in pairs]
-    return row.select(F.explode(F.array(*items)).alias("e")).select("e.fi", "e.fj", "e.rho", F.sqrt(0.5 * (1 - F.col("e.rho"))).alias("d"))
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    means = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
+    flat = [i for i in range(len(columns)) if not (row[f"s{i}"] or 0.0) > min_std]
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = numbers.mapInArrow(_cross_sums(columns, means), "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    both = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    rho = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), both)
+    rho = F.when(F.col("i").isin(flat) | F.col("j").isin(flat), 0.0).otherwise(F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0)))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
+    return total.select(name("i").alias("fi"), name("j").alias("fj"), rho.alias("rho")).withColumn("d", F.sqrt(0.5 * (1 - F.col("rho"))))
 
 
 def _matrix(edges: pd.DataFrame, names: list[str]) -> np.ndarray:
