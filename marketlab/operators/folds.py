@@ -1,7 +1,7 @@
 """Leakage-safe splits and label uniqueness over horizons (event_id, t0, t1), closed intervals [t0, t1].
 
-Splits need the rank of each label by t0. It is made without a window over one partition: counts of a few thousand ranges of t0 are
-summed on the driver (a fixed number of rows), and ranks within a range are local.
+Splits need the rank of each label by t0. It is made without a window over one partition: counts of ranges of t0, a thousand and more in a large table, are
+summed on the driver (a bounded number of rows), and ranks within a range are local.
 """
 
 from __future__ import annotations
@@ -13,7 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+RANGES, MOST_RANGES, A_RANGE = 1024, 1 << 20, 1_000_000
+
+
+def _width(low: int, high: int, n: int) -> int:
+    """Of ranges of time: RANGES of them, and more if a range would hold over A_RANGE rows on average."""
+    ranges = min(MOST_RANGES, max(RANGES, n // A_RANGE))
+    return max(1, -(-(high - low + 1) // ranges))
 
 
 def ranked(h: DataFrame) -> tuple[DataFrame, int]:
@@ -23,9 +29,9 @@ def ranked(h: DataFrame) -> tuple[DataFrame, int]:
         raise ValueError(f"{wrong} labels end before they start")
     if not n:
         return h.withColumn("pos", F.lit(0).cast("long")), 0
-    width = max(1, -(-(high - low + 1) // RANGES))
+    width = _width(low, high, n)
     keyed = h.withColumn("range", F.expr(f"(t0 - {low}) div {width}"))
-    counts = keyed.groupBy("range").agg(F.count("*").alias("n")).toPandas().sort_values("range")  # at most RANGES rows
+    counts = keyed.groupBy("range").agg(F.count("*").alias("n")).toPandas().sort_values("range")  # at most MOST_RANGES rows
     counts["before"] = counts["n"].cumsum() - counts["n"]
     before = h.sparkSession.createDataFrame(counts[["range", "before"]].astype("int64"))
     w = Window.partitionBy("range").orderBy("t0", "event_id")
@@ -130,8 +136,8 @@ def concurrency(h: DataFrame) -> DataFrame:
 
 
 def _ranges(grid: DataFrame) -> DataFrame:
-    low, high = grid.agg(F.min("t"), F.max("t")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
+    low, high, n = grid.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    width = _width(low or 0, high or 0, n)
     return grid.withColumn("range", F.expr(f"(t - {low or 0}) div {width}"))
 
 
@@ -139,7 +145,7 @@ def _running(grid: DataFrame, opens: str, closes: str) -> DataFrame:
     """Running sums over t, by ranges: sums of ranges are few, sums within a range are local."""
     g = _ranges(grid)
     by_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = g.groupBy("range").agg(F.sum(F.col(opens) - F.col(closes)).alias("d")).withColumn("base", F.coalesce(F.sum("d").over(by_range), F.lit(0)))  # at most RANGES rows
+    sums = g.groupBy("range").agg(F.sum(F.col(opens) - F.col(closes)).alias("d")).withColumn("base", F.coalesce(F.sum("d").over(by_range), F.lit(0)))  # at most MOST_RANGES rows
     w = Window.partitionBy("range").orderBy("t")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     c = F.col("base") + F.sum(opens).over(upto) - F.coalesce(F.sum(closes).over(before), F.lit(0))

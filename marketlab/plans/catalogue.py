@@ -563,7 +563,14 @@ def chow_f(spark, sf_dir):
     return rounded(V.chow(hourly(spark, sf_dir).select("asset", "seq", F.col("close").alias("value"))))
 
 
-@query()
+@query(f"""with {bars_sql("b4", 14400)},
+y as (select asset, seq, ln(close) - avg(ln(close)) over a as x, count(*) over a as n, var_pop(ln(close)) over a as v from b4 window a as (partition by asset)),
+p as (select *, lead(x) over (partition by asset order by seq) - x as d from y),
+s as (select f.asset, f.seq as f, p.n, p.v, p.seq - f.seq + 1 as m, sum(p.x) over w as sx, sum(p.d) over w as sd, sum(p.x * p.x) over w as sxx, sum(p.x * p.d) over w as sxd, sum(p.d * p.d) over w as sdd
+  from y f join p on p.asset = f.asset and p.seq >= f.seq where p.d is not null window w as (partition by f.asset, f.seq order by p.seq)),
+q as (select asset, sxx - sx * sx / m as vxx, sxd - sx * sd / m as vxd, sdd - sd * sd / m as vdd, m from s where m >= greatest(20, floor(0.2 * n)) - 1 and v >= 1e-10),
+t as (select asset, (vxd / vxx) / sqrt((vdd - vxd * vxd / vxx) / (m - 2) / vxx) as t from q where vxx > 1e-12 and (vdd - vxd * vxd / vxx) / (m - 2) > 1e-18)
+select y.asset, count(distinct y.seq) as n, round(coalesce(any_value(g.t), 0), 6) as gsadf from y left join (select asset, max(t) as t from t group by 1) g using (asset) group by 1""")
 def gsadf_stat(spark, sf_dir):
     return rounded(G.gsadf_statistic(B.time_bars(views.ticks(spark, sf_dir), "4h").select("asset", "seq", F.log("close").alias("value"))))
 

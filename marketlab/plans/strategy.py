@@ -209,11 +209,13 @@ def precompute(ticks: DataFrame, asset: str, regime: R.HoldingRegime) -> Precomp
 
 def event_dataset(pc: Precomputed, family: str, options: dict, profit_take: float = 2.0, vol_span: int = 50, windows: tuple = (10, 20, 30, 50), entropy_windows: tuple = (50, 100), least: int = 500, most: int = 6000, enforce: bool = True) -> tuple[DataFrame | None, int, str]:
     """(data, events, detail): data (event_id, asset, ts_us, t0, t1, y, ret, side_sign, features) of a family's labelled events that have all features, thinned to about ``most``; None under ``least``."""
+    options = dict(options)
+    vertical = int(options.pop("vertical_bars", pc.vertical_bars))
     events = L.detector(family)(pc.bars, **options)
     n = events.count()
     if n < least:
         return None, n, f"too few events ({n} < {least})"
-    labels = L.triple_barrier(pc.bars, events, vol_span=vol_span, profit_take=profit_take, vertical_bars=pc.vertical_bars)
+    labels = L.triple_barrier(pc.bars, events, vol_span=vol_span, profit_take=profit_take, vertical_bars=vertical)
     ready, _ = D.compute_features(pc.bars, events, windows, entropy_windows, enforce=enforce)
     names = [c for c in ready.columns if c not in ("asset", "seq", "ts_us")]
     data = labels.join(ready.select("asset", "seq", *names), ["asset", "seq"])
