@@ -291,3 +291,15 @@ def test_ranks_and_complexity_in_batches_equal_frames():
         assert [None if pd.isna(b) else int(b) for b in got[f"x_bin{n}"]] == bins
         want = [kernels.lz_complexity(bins[t - n : t], 4) if t >= n and None not in bins[t - n : t] else math.nan for t in range(300)]
         assert np.allclose(got[f"x_lz{n}"], want, equal_nan=True) and not np.isnan(want).all()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from marketlab.__main__ import main
+
+    assert main(["list"]) == 0 and "time_bars_1h" in capsys.readouterr().out
+    rows = [(k, datetime(2024, 1, 1 + k // 24, k % 24), k % 3, "click", float(50 + (k * 7919) % 13 - 6), '{"k": 3}') for k in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id int, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert main(["query", "time_bars_1d", str(tmp_path), "--out", str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 9
+    assert main(["sweep", str(tmp_path), "--asset", "click", "--family", "donchian", "--registry", str(tmp_path / "r"), "--report", str(tmp_path / "run.md")]) == 0
+    assert (tmp_path / "run.md").read_text().count("invalid") == 30
+    assert main(["doctor", f"x={tmp_path}/none", "--registry", str(tmp_path / "r")]) == 1 and "BAD x" in capsys.readouterr().out
