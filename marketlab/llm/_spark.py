@@ -13,7 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: a job's shuffle files go when it ends, since only the written table is read later, and batches sent to Python are small.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 #: Used only by a local master whose session names no spark.checkpoint.dir (tests, a single machine).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/marketlab"
 _PAUSE = 10.0  # seconds between collections of the driver's garbage
@@ -49,13 +50,14 @@ _writers: dict[int, list] = {}  # of a session: how many write, and the setting
 
 
 @contextmanager
-def _shuffles_cleaned(spark: SparkSession):
-    """While any table of a session is written: a job's shuffle files go when it ends, since only the written table is read later."""
+def _settings(spark: SparkSession):
+    """SETTINGS hold while any table of a session is written; writers are counted, so parallel ones don't end them for each other."""
     with _lock:
         state = _writers.setdefault(id(spark), [0, None])
         if not state[0]:
-            state[1] = spark.conf.get(CLEANUP, "false")
-            spark.conf.set(CLEANUP, "true")
+            state[1] = {k: spark.conf.get(k, None) for k in SETTINGS}
+            for k, v in SETTINGS.items():
+                spark.conf.set(k, v)
         state[0] += 1
     try:
         yield
@@ -63,7 +65,11 @@ def _shuffles_cleaned(spark: SparkSession):
         with _lock:
             state[0] -= 1
             if not state[0]:
-                spark.conf.set(CLEANUP, state[1])
+                for k, v in state[1].items():
+                    if v is None:
+                        spark.conf.unset(k)
+                    else:
+                        spark.conf.set(k, v)
 
 
 class Scratch:
@@ -87,7 +93,7 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count}"
         self.live.add(path)
-        with _shuffles_cleaned(self.spark):
+        with _settings(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

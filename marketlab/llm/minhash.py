@@ -53,7 +53,8 @@ _DRAWS = 1 << 20
 _CHUNK = 1 << 16  # shingles sampled together
 _SLICE = 1 << 22  # bytes of texts whose shingles are counted together, in a small corpus
 _MOST_SLICE = 1 << 26  # and in a large one
-_RANGE = 1 << 24  # bytes of texts for each range of hashes and each task, likewise
+_RANGE = 1 << 23  # bytes of texts for each range of hashes, likewise
+_TASK = 1 << 24  # bytes of texts for each task that samples
 _FIRST_BOUND = 3.0
 
 
@@ -415,7 +416,7 @@ def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: in
     documents, size = whole.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     grown = lambda least: max(least, min(_MOST_SLICE, size // 4096))
     ranges = max(1, math.ceil(size / grown(_RANGE)))
-    tasks = max(math.ceil(size / _RANGE), spark.sparkContext.defaultParallelism)
+    tasks = max(math.ceil(size / _TASK), spark.sparkContext.defaultParallelism)
 
     sliced = scratch.keep(whole.mapInArrow(_sliced(grown(_SLICE)), "slice long, nth int, id long, sha binary, text string"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "slice", "nth"))

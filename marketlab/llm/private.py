@@ -95,7 +95,7 @@ TRAIN, PART = 96, 20_000  # characters of a training window, and of a training d
 _TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 _CHARS, _EMBED, _HIDDEN = 131, 12, 16
 _OUTSIDE = 130
-_BATCH = 1024
+_BATCH = 512
 
 #: The class of the character that a first byte of UTF-8 begins: ASCII for itself, characters below U+2000 128, the rest 129.
 _OF_BYTE = np.full(256, 129, np.uint8)
