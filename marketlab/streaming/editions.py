@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketlab.functions.kernels import InformationBars
+from marketlab.functions.scans import Cusum, EwmStd
 
 #: Event payloads by channel, each with the envelope event_id, occurred_at, producer.
 CHANNELS = {
@@ -84,23 +87,23 @@ def stream_information_bars(ticks: DataFrame, kind: str = "imbalance", **options
     return ticks.groupBy("asset").applyInPandasWithState(step, _BAR, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_cusum(bars: DataFrame, threshold: float) -> DataFrame:
-    """CUSUM events of bars (asset, seq, ts_us, close) against a fixed threshold, as bars arrive in order."""
+_CUSUM_STATE = "up double, down double, last double, mean double, cov double, weight double, squares double, old double, seen long, before double"
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import math
 
-        up, down, last = state.get if state.exists else (0.0, 0.0, None)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if last is not None:
-                ret = math.log(r.close) - math.log(last)
-                up, down = max(0.0, up + ret), min(0.0, down + ret)
-                if up >= threshold or down <= -threshold:
-                    out.append((key[0], int(r.seq), int(r.ts_us), "long" if up >= threshold else "short"))
-                    up = down = 0.0
-            last = float(r.close)
-        state.update((up, down, last))
-        yield pd.DataFrame(out, columns=["asset", "seq", "ts_us", "side"])
-
-    return bars.groupBy("asset").applyInPandasWithState(step, "asset string, seq long, ts_us long, side string", "up double, down double, last double", "append", GroupStateTimeout.NoTimeout)
+def stream_cusum(bars: DataFrame, threshold: float | None = None, vol_span: int = 100, threshold_multiplier: float = 1.0) -> DataFrame:
+    """CUSUM events of bars (asset, seq, ts_us, close) as they arrive in order, against a multiple of the volatility before each bar, as in the batch
+    operator; or against a fixed threshold."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        vol, sums, last = EwmStd(vol_span, None, True), Cusum(threshold_multiplier), None
+        if state.exists:
+            sums.up, sums.down, last, vol.mean, vol.cov, vol.weight, vol.squares, vol.old, vol.seen, vol.before = state.get
+        rows = pd.concat(list(frames)).sort_values("seq")
+        log = np.log(rows["close"].to_numpy(float))
+        rows = rows.assign(ret=np.diff(log, prepend=math.log(last) if last is not None else math.nan))
+        rows = vol.feed(rows) if threshold is None else rows.assign(vol=threshold / threshold_multiplier)
+        hits = sums.feed(rows)
+        state.update((sums.up, sums.down, float(rows["close"].iloc[-1]), vol.mean, vol.cov, vol.weight, vol.squares, vol.old, int(vol.seen), vol.before))
+        yield hits.assign(side=np.where(hits["hit"] > 0, "long", "short"))[["asset", "seq", "ts_us", "side"]]
+
+    return bars.groupBy("asset").applyInPandasWithState(step, "asset string, seq long, ts_us long, side string", _CUSUM_STATE, "append", GroupStateTimeout.NoTimeout)
