@@ -50,3 +50,18 @@ def test_messages_round_trip(spark):
     wire = E.encode(sent, "event_triggered").unionByName(spark.createDataFrame([("event_triggered", "{broken")], "channel string, value string"))
     good, bad = E.decode(wire, "event_triggered")
     assert [(r.asset, r.side) for r in good.collect()] == [("a", "long")] and bad.count() == 1
+
+
+def test_cusum_equals_batch(spark, tmp_path):
+    from marketlab.operators import labels as L
+
+    mid = 100 * np.exp(np.random.default_rng(2).standard_normal(400).cumsum() / 100)
+    made = [("ab"[k % 2], k // 2 + 1, k * 60_000_000, float(m)) for k, m in enumerate(mid)]
+    bar = "asset string, seq long, ts_us long, close double"
+    for f in range(4):
+        spark.createDataFrame(made[f * 100 : (f + 1) * 100], bar).coalesce(1).write.mode("append").parquet(str(tmp_path / "bars"))
+    stream = lambda: spark.readStream.schema(bar).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "bars"))
+    got = run(spark, E.stream_cusum(stream(), vol_span=20, threshold_multiplier=1.5), tmp_path, "cusum")
+    want = L.cusum_events(spark.createDataFrame(made, bar), 20, 1.5)
+    assert rows(got) == rows(want.select("asset", "seq", "ts_us", "side")) and got.count() > 10
+    assert run(spark, E.stream_cusum(stream(), 0.05), tmp_path, "fixed").count() > 3
