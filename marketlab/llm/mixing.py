@@ -268,12 +268,12 @@ s as (
   from d group by source),
 -- capped sources are those that reach their cap first
 w as (
-  select *, 3 * own / weight as reach,
+  select *, 3 * own / weight as reach, row_number() over (order by 3 * own / weight, source nulls last) as nth,
     coalesce(sum(3 * own) over (order by 3 * own / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
     sum(weight) over (order by 3 * own / weight, source nulls last rows between current row and unbounded following) as open,
     sum(own) over () as total
   from s),
-l as (select min((total - before) / open) as unit from w where (total - before) / open <= reach),
+l as (select arg_min((total - before) / open, nth) as unit from w where (total - before) / open <= reach),
 t as (select source, own, case when unit is null or unit * weight > 3 * own then cast(3 * own as double) else unit * weight end as target from s, l),
 p as (
   select source, own, target, case when own > 0 then cast(floor(least(target, 3 * own) / own + 1e-9) as bigint) else 0 end as base from t),
