@@ -338,6 +338,15 @@ def test_chats_equal_their_sql(spark):
     assert chats.collapse_and_render(df.limit(0)).count() == 0
 
 
+def test_chats_of_many_turns(spark):
+    long_ = [(1, t, "user" if t % 2 else None, f"turn {t}") for t in range(6000)]
+    rows = long_ + [(2, *r[1:]) for r in long_[:3000]] + [(3, *r[1:]) for r in long_[:2999]] + [(3, 2999, "user", "another end")] + [(4, *r[1:]) for r in long_]
+    swapped = [(5, 0, None, "turn 0"), (5, 1, "user", "turn 2"), (5, 2, None, "turn 1")]
+    df = spark.createDataFrame(rows + swapped, "conv_id long, turn long, role string, text string").withColumns({"n": F.lit(1), "hash": F.lit("x")})
+    got = {r.conv_id: r.n_turns for r in chats.collapse_and_render(df.repartition(4)).collect()}
+    assert got == {1: 6000, 3: 3000, 5: 3}
+
+
 def targets(sizes, weights, total, most=3):
     """Shares by weight, each at most ``most`` times its size; the excess is shared again."""
     left, open_, out = float(total), list(range(len(sizes))), [0.0] * len(sizes)
