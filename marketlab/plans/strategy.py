@@ -21,6 +21,8 @@ from marketlab.operators import validation as V
 from marketlab.plans import research as R
 
 LEAST_CLASS = 2
+#: What becomes of a certification.
+CERTIFIED, REJECTED, HALTED, TOO_FEW, LEAKING, DEGENERATE = "certified", "rejected", "halted_at_mda", "insufficient_events", "data_leakage", "degenerate_cpcv"
 _MICROS_A_YEAR = 365.25 * 24 * 3600 * 1e6
 
 
@@ -268,21 +270,21 @@ def certify(pc: Precomputed, family: str, options: dict, registry: R.Registry, e
     data, n, detail = event_dataset(pc, family, options, **(dataset or {}))
     out = {"asset": pc.asset, "family": family, "options": options, "n_events": n, "detail": detail}
     if data is None:
-        return out | {"status": "insufficient_events"}
+        return out | {"status": TOO_FEW}
     names = data.columns[8:]
     chosen, halted = S.select_features(data, C.purged_kfold(data.select("event_id", "t0", "t1"), n_splits), names, n_estimators=n_estimators, seed=seed)
     if halted:
-        return out | {"status": "halted_at_mda"}
+        return out | {"status": HALTED}
     cohort = [Candidate(f"forest_{d or 'full'}", "forest", {"n_estimators": n_estimators, "max_depth": d}) for d in depths]
     cohort.append(Candidate("boosted", "boosted", {"n_estimators": n_estimators, "max_depth": max([d for d in depths if d] or [6])}))
     trials = cohort_trials(registry, pc.asset, family)
     try:
         verdict = validate_strategy(data, chosen, cohort, trials, periods_per_year=max(1, round(periods_per_year(data).first()["periods"])), seed=seed, **gate).first().asDict()
     except ValueError as e:
-        return out | {"status": "degenerate_cpcv", "detail": str(e)}
+        return out | {"status": DEGENERATE, "detail": str(e)}
     if experiment_id is not None:
         registry.update(experiment_id, status="validated" if verdict["passes"] else "failed_validation", metric=verdict["dsr"])
-    return out | verdict | {"status": "certified" if verdict["passes"] else "data_leakage" if verdict["p_value"] >= gate.get("gate", Gate()).leak else "rejected", "n_trials": trials, "features": chosen}
+    return out | verdict | {"status": CERTIFIED if verdict["passes"] else LEAKING if verdict["p_value"] >= gate.get("gate", Gate()).leak else REJECTED, "n_trials": trials, "features": chosen}
 
 
 def cohort_trials(registry: R.Registry, asset: str, family: str) -> int:
