@@ -427,7 +427,8 @@ def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: in
     )
     keyed = scratch.keep(sliced.select("id", "sha"))
     sent = sliced.select("slice", "sha", "text").mapInArrow(_slice_counts(words, ranges), "range int, slice long, shingles binary, n binary")
-    counted = scratch.keep(sent.groupBy("range").applyInArrow(_range_counts, "slice long, shingles binary, n binary"))
+    # as many tasks as the input asks for, so that what one reads does not grow
+    counted = scratch.keep(sent.repartition(tasks, "range").groupBy("range").applyInArrow(_range_counts, "slice long, shingles binary, n binary"))
     plan = counted.select("slice", "shingles", "n", *(F.lit(None).cast(t).alias(c) for c, t in (("nth", "int"), ("node", "long"), ("copies", "long")))).unionByName(
         classes.select("slice", F.lit(None).cast("binary").alias("shingles"), F.lit(None).cast("binary").alias("n"), "nth", "node", "copies")
     )
