@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlab.functions import calibrators as K
-from marketlab.functions import kernels, scans, stats
+from marketlab.functions import kernels, scans, stats, trees
 from marketlab.functions.trees import Forest, Tree
 from marketlab.operators import execution as E
 from marketlab.operators import folds as C
@@ -134,6 +134,46 @@ def test_sample_weights_reach_the_forest(spark):
         assert np.mean((got["p"] > 0.5) == (x[got["event_id"]] > 0)) > 0.75
 
 
+def test_draws_of_many_trees_are_those_of_one_at_a_time(monkeypatch):
+    r = np.random.default_rng(16)
+    starts = np.sort(r.integers(0, 900, 300))
+    # in order and not, of one length and of several, few that meet and many, one event
+    for t0, length in ((np.arange(300), 5), (starts, r.integers(0, 40, 300)), (r.permutation(starts), r.integers(0, 9, 300)), (r.permutation(starts), r.integers(0, 90, 300)), (starts, 800), (np.array([3]), 2)):
+        many, one = ([np.random.default_rng([1, k]) for k in range(3)] for _ in range(2))
+        rows, unique = trees.sequential_bootstraps(t0, t0 + length, 350, many)
+        for k, rng in enumerate(one):
+            want, u = trees.sequential_bootstrap(t0, t0 + length, 350, rng)
+            assert (rows[k] == want).all() and np.allclose(unique[k], u) and many[k].random() == rng.random()
+    # a forest no longer makes all chances anew for each draw
+    monkeypatch.setattr(trees, "sequential_bootstrap", None)
+    t, x = np.arange(2000), r.standard_normal((2000, 2))
+    draw = trees.sequential_draw(t, t + 5, None, 1.0)
+    whole = Forest(4, 3).fit(x, (x[:, 0] > 0).astype(float), draw)
+    monkeypatch.setattr(trees, "CELLS", 4000)  # two generators at a time
+    parts = [Forest(4, 3).fit(x, (x[:, 0] > 0).astype(float), draw, part).trees for part in (range(1), range(1, 4))]
+    assert [a.predict(x).tolist() for a in whole.trees] == [b.predict(x).tolist() for b in sum(parts, [])]
+
+
+def test_folds_have_tasks_of_their_own(spark):
+    r = np.random.default_rng(17)
+    x = r.standard_normal(240)
+    df = spark.createDataFrame([(k, k, k + 3, int(x[k] + r.standard_normal() > 0), float(x[k])) for k in range(240)], "event_id long, t0 long, t1 long, y int, x double")
+    pdf = df.toPandas()
+    for n_folds in (2, 4):  # on four cores: two tasks a fold, or one
+        roles = C.purged_kfold(df.select("event_id", "t0", "t1"), n_folds)
+        made = M.out_of_fold(df, roles, ["x"], n_estimators=7)
+        got = made.toPandas().sort_values("event_id")
+        assert got["event_id"].tolist() == list(range(240))
+        for fold, part in roles.toPandas().groupby("fold"):
+            train, test = (pdf[pdf["event_id"].isin(part.loc[part["role"] == role, "event_id"])] for role in ("train", "test"))
+            draw = trees.sequential_draw(train["t0"].to_numpy(float), train["t1"].to_numpy(float), None, 1.0)
+            want = Forest(7, 5, 5, seed=int(fold)).fit(train[["x"]].to_numpy(float), train["y"].to_numpy(float), draw).predict(test[["x"]].to_numpy(float))
+            assert np.allclose(got[got["fold"] == fold]["p"], want, atol=1e-12)
+    assert made.select(F.spark_partition_id()).distinct().count() == 4
+    again = M.out_of_fold(df.unionByName(df.where("event_id = 5")), C.purged_kfold(df.select("event_id", "t0", "t1"), 2), ["x"], n_estimators=7)
+    assert again.where("event_id = 5").count() == 2
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     r = np.random.default_rng(7)
