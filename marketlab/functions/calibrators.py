@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from marketlab.functions.trees import Forest, Tree, sequential_draw, uniform_draw
+from marketlab.functions.trees import Forest, Tree, sequential_draw, sorted_rows, uniform_draw
 
 EPSILON = 1e-6
 
@@ -53,11 +53,11 @@ class Boosted:
         w = np.ones(len(y)) if w is None else w
         share = np.clip(np.average(y, weights=w), EPSILON, 1 - EPSILON)
         self.base, self.trees = float(np.log(share / (1 - share))), []
-        f = np.full(len(y), self.base)
+        f, orders = np.full(len(y), self.base), sorted_rows(x)
         for t in range(self.n):
             p = 1 / (1 + np.exp(-f))
             # residuals brought to [0, 1], where the tree's impurity is that of their spread
-            tree = Tree(self.depth, self.leaf, None, np.random.default_rng([self.seed, t])).fit(x, (y - p + 1) / 2, w)
+            tree = Tree(self.depth, self.leaf, None, np.random.default_rng([self.seed, t])).fit(x, (y - p + 1) / 2, w, orders)
             self.trees.append(tree)
             f = f + self._step(tree, x)
         return self
@@ -99,6 +99,30 @@ def purged_folds(t0: np.ndarray, t1: np.ndarray, n_splits: int, embargo: int) ->
     return out
 
 
+def normalized(w: np.ndarray) -> np.ndarray:
+    return w * len(w) / w.sum() if w.sum() > 0 else np.ones(len(w))
+
+
+def inner_fold(kind: str, train: tuple, options: dict, inner_splits: int, embargo: int, seed: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of train (x, y, w, t0, t1) that its kth purged fold tests, and their probabilities; none if the fold leaves too little to fit on."""
+    x, y, w, t0, t1 = train
+    folds = purged_folds(t0, t1, inner_splits, embargo)
+    rows, test = folds[k] if k < len(folds) else (np.zeros(0, np.int64),) * 2
+    if len(rows) < 2 or min(np.bincount(y[rows].astype(int), minlength=2)) < 2:
+        return np.zeros(0, np.int64), np.zeros(0)
+    return test, fitted(kind, x[rows], y[rows], normalized(w)[rows], (t0[rows], t1[rows]), options, seed + 1 + k).predict(x[test])
+
+
+def chosen(oof: np.ndarray, y: np.ndarray, raw: np.ndarray, hold: np.ndarray) -> dict:
+    """raw, probabilities of rows of labels hold, with the calibrator of lower Brier score on them, fitted on out-of-fold probabilities oof of labels y."""
+    if len(y) < 2 or len(np.unique(y)) < 2:
+        raise ValueError("too few out-of-fold probabilities, or of one class only")
+    both = {name: np.clip(make(oof, y)(raw), EPSILON, 1 - EPSILON) for name, make in (("isotonic", isotonic), ("sigmoid", platt))}
+    scores = {name: brier(p, hold) for name, p in both.items()}
+    method = "isotonic" if scores["isotonic"] <= scores["sigmoid"] else "sigmoid"
+    return {"raw": raw, "p": both[method], "method": method, "brier": scores[method], "brier_raw": brier(raw, hold), **{f"brier_{k}": v for k, v in scores.items()}}
+
+
 def calibrated(kind: str, train: tuple, hold: tuple, options: dict, inner_splits: int, embargo: int, seed: int) -> dict:
     """A model of train (x, y, w, t0, t1) with the calibrator of lower Brier score on hold (x, y), fitted on purged out-of-fold probabilities.
 
@@ -106,17 +130,9 @@ def calibrated(kind: str, train: tuple, hold: tuple, options: dict, inner_splits
     folds leave too little to fit on.
     """
     x, y, w, t0, t1 = train
-    w = w * len(w) / w.sum() if w.sum() > 0 else np.ones(len(w))
     oof = np.full(len(y), np.nan)
-    for k, (rows, test) in enumerate(purged_folds(t0, t1, inner_splits, embargo)):
-        if len(rows) < 2 or min(np.bincount(y[rows].astype(int), minlength=2)) < 2:
-            continue
-        oof[test] = fitted(kind, x[rows], y[rows], w[rows], (t0[rows], t1[rows]), options, seed + 1 + k).predict(x[test])
+    for k in range(inner_splits):
+        rows, p = inner_fold(kind, train, options, inner_splits, embargo, seed, k)
+        oof[rows] = p
     known = ~np.isnan(oof)
-    if known.sum() < 2 or len(np.unique(y[known])) < 2:
-        raise ValueError("too few out-of-fold probabilities, or of one class only")
-    raw = fitted(kind, x, y, w, (t0, t1), options, seed).predict(hold[0])
-    both = {name: np.clip(make(oof[known], y[known])(raw), EPSILON, 1 - EPSILON) for name, make in (("isotonic", isotonic), ("sigmoid", platt))}
-    scores = {name: brier(p, hold[1]) for name, p in both.items()}
-    method = "isotonic" if scores["isotonic"] <= scores["sigmoid"] else "sigmoid"
-    return {"raw": raw, "p": both[method], "method": method, "brier": scores[method], "brier_raw": brier(raw, hold[1]), **{f"brier_{k}": v for k, v in scores.items()}}
+    return chosen(oof[known], y[known], fitted(kind, x, y, normalized(w), (t0, t1), options, seed).predict(hold[0]), hold[1])

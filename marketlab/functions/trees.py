@@ -7,6 +7,11 @@ import math
 import numpy as np
 
 
+def sorted_rows(x: np.ndarray) -> np.ndarray:
+    """(features, rows): the rows in order of each feature."""
+    return np.argsort(x.T, axis=1, kind="stable")
+
+
 class Tree:
     """CART by Gini impurity on weighted rows."""
 
@@ -15,13 +20,14 @@ class Tree:
         self.rng = rng or np.random.default_rng(0)
         self.feature, self.cut, self.left, self.right, self.value, self.cover = [], [], [], [], [], []
 
-    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Tree:
-        self._grow(x, y, w, np.arange(len(y)), 0)
+    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, orders: np.ndarray | None = None) -> Tree:
+        """orders: sorted_rows(x), if several trees share it; the tree is the same."""
+        self._grow(x, y, w, np.arange(len(y)), 0, orders)
         self.arrays = [np.array(a) for a in (self.feature, self.cut, self.left, self.right, self.value)]
         self.covers = np.array(self.cover)
         return self
 
-    def _grow(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rows: np.ndarray, depth: int) -> int:
+    def _grow(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rows: np.ndarray, depth: int, orders: np.ndarray | None) -> int:
         node, total = len(self.feature), float(w[rows].sum())
         p = float((w[rows] * y[rows]).sum()) / total if total > 0 else 0.0
         for a, v in zip((self.feature, self.cut, self.left, self.right, self.value, self.cover), (-1, 0.0, -1, -1, p, total)):
@@ -32,7 +38,7 @@ class Tree:
         tried = np.sort(self.rng.permutation(k)[: self.max_features or k])
         best = (total * p * (1 - p) - 1e-12, -1, 0.0)
         for f in tried:
-            order = rows[np.argsort(x[rows, f], kind="stable")]
+            order = rows[np.argsort(x[rows, f], kind="stable")] if orders is None else orders[f]
             v, cw, cy = x[order, f], np.cumsum(w[order]), np.cumsum(w[order] * y[order])
             at = np.flatnonzero(v[:-1] < v[1:])
             at = at[(at + 1 >= self.min_leaf) & (len(order) - at - 1 >= self.min_leaf)]
@@ -48,8 +54,13 @@ class Tree:
             return node
         self.feature[node], self.cut[node] = best[1], best[2]
         low = x[rows, best[1]] <= best[2]
-        self.left[node] = self._grow(x, y, w, rows[low], depth + 1)
-        self.right[node] = self._grow(x, y, w, rows[~low], depth + 1)
+        for side, child in ((low, self.left), (~low, self.right)):
+            own = orders
+            if orders is not None and depth + 1 < self.max_depth:
+                there = np.zeros(len(x), bool)
+                there[rows[side]] = True
+                own = orders[there[orders]].reshape(k, -1)
+            child[node] = self._grow(x, y, w, rows[side], depth + 1, own)
         return node
 
     def predict(self, x: np.ndarray) -> np.ndarray:

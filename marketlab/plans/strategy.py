@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.functions.calibrators import calibrated, fitted
+from marketlab.functions import calibrators as K
 from marketlab.operators import bars as B
 from marketlab.operators import features as X
 from marketlab.operators import folds as C
@@ -42,8 +42,8 @@ def train_meta(
 
     data: event_id, t0, t1, y and columns. Rows are weighted by average uniqueness. In each fold the model, and the one to compare with, are
     calibrated on purged out-of-fold probabilities of the train rows; the lower Brier score on the test rows wins, the first on a tie.
-    Folds with fewer than two train rows of a class, or one class in test, give no rows. One task a fold: train rows are
-    labelled events, some thousands. No columns raise ValueError.
+    Folds with fewer than two train rows of a class, or one class in test, give no rows. One task a fold, model and inner fold, and
+    another a fold to calibrate and choose. No columns raise ValueError.
     """
     if not columns:
         raise ValueError("no columns to train on")
@@ -51,29 +51,56 @@ def train_meta(
     horizons = events.select("event_id", "t0", "t1")
     rows = events.join(C.average_uniqueness(horizons), "event_id").join(C.walk_forward(horizons, n_splits, embargo_pct, train_fraction).select("fold", "event_id", "role"), "event_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, fold = pdf.sort_values(["t0", "event_id"]), int(pdf["fold"].iloc[0])
+    spark, folds, names = data.sparkSession, range(n_splits), [name for name in (kind, compare) if name]
+    # the longest fits first
+    units = [(fold, nth, step) for fold in reversed(folds) for step in reversed(range(inner_splits + 1)) for nth in range(len(names))]
+    tasks = M.own_tasks(spark, units, "fold int, nth int, step int")
+    rows = rows.join(F.broadcast(tasks), "fold").where((F.col("role") == "train") | (F.col("step") == inner_splits))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The model of a fold for its test rows, or one for an inner fold of its train rows."""
+        fold, nth, step = (int(pdf[c].iloc[0]) for c in ("fold", "nth", "step"))
+        pdf = pdf.sort_values(["t0", "event_id"] if pdf["event_id"].is_unique else ["t0", "event_id", "t1", "y", *columns, "u"])  # the same places in all tasks
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        y = train["y"].to_numpy()
-        out = pd.DataFrame({"fold": fold, "event_id": test["event_id"], "y": test["y"].astype("int32"), "raw": 0.0, "p": 0.0, "method": "", "model": "", "n_train": len(train), "naive": 0.0, "train_t1_max": 0, "t0": test["t0"]})
-        if len(train) < 2 or len(test) < 2 or min(np.bincount(y.astype(int), minlength=2)) < LEAST_CLASS or test["y"].nunique() < 2:
+        x, y, w, t0, t1 = given = (train[columns].to_numpy(), train["y"].to_numpy(), train["u"].to_numpy(), train["t0"].to_numpy(), train["t1"].to_numpy())
+        out = pd.DataFrame({"fold": fold, "nth": nth, "step": step, "place": 0, "event_id": pdf["event_id"], "y": pdf["y"], "p": 0.0, "n_train": len(y), "naive": 0.0, "train_t1_max": 0, "t0": pdf["t0"]})
+        try:
+            if step < inner_splits:
+                at, p = K.inner_fold(names[nth], given, options, inner_splits, int(len(y) * embargo_pct), seed + fold, step)
+                return out.iloc[at].assign(place=at, p=p)
+            if len(train) < 2 or len(test) < 2 or min(np.bincount(y.astype(int), minlength=2)) < LEAST_CLASS or test["y"].nunique() < 2:
+                return out.iloc[:0]
+            p = K.fitted(names[nth], x, y, K.normalized(w), (t0, t1), options, seed + fold).predict(test[columns].to_numpy())
+        except ValueError:
+            if not nth:
+                raise
             return out.iloc[:0]
-        given = (train[columns].to_numpy(), y, train["u"].to_numpy(), train["t0"].to_numpy(), train["t1"].to_numpy())
-        hold = (test[columns].to_numpy(), test["y"].to_numpy())
-        best = None
-        for name in (kind, compare):
+        return out[(pdf["role"] == "test").to_numpy()].assign(place=np.arange(len(test)), p=p, naive=float(y.mean()), train_t1_max=int(t1.max()))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["nth", "place"])
+        hold = pdf[pdf["step"] == inner_splits]
+        test, best = hold[hold["nth"] == 0], None
+        for nth, name in enumerate(names):
+            raw, inner = hold[hold["nth"] == nth], pdf[(pdf["step"] < inner_splits) & (pdf["nth"] == nth)]
+            if raw.empty:
+                continue
             try:
-                got = calibrated(name, given, hold, options, inner_splits, int(len(y) * embargo_pct), seed + fold) if name else None
+                got = K.chosen(inner["p"].to_numpy(), inner["y"].to_numpy(), raw["p"].to_numpy(), raw["y"].to_numpy())
             except ValueError:
-                if name == kind:
+                if not nth:
                     raise
-                got = None
-            if got and (best is None or got["brier"] < best[0]["brier"]):
+                continue
+            if best is None or got["brier"] < best[0]["brier"]:
                 best = got, name
-        got, name = best
-        return out.assign(raw=got["raw"], p=got["p"], method=got["method"], model=name, naive=float(y.mean()), train_t1_max=int(train["t1"].max()))
+        out = test.assign(y=test["y"].astype("int32"), raw=0.0, method="", model="")
+        if best is not None:
+            out = out.assign(raw=best[0]["raw"], p=best[0]["p"], method=best[0]["method"], model=best[1])
+        return out[["fold", "event_id", "y", "raw", "p", "method", "model", "n_train", "naive", "train_t1_max", "t0"]]
 
-    return rows.groupBy("fold").applyInPandas(run, "fold int, event_id long, y int, raw double, p double, method string, model string, n_train long, naive double, train_t1_max long, t0 long")
+    made = rows.repartition(len(units), "task").groupBy("task").applyInPandas(fit, "fold int, nth int, step int, place long, event_id long, y double, p double, n_train long, naive double, train_t1_max long, t0 long")
+    made = made.join(F.broadcast(M.own_tasks(spark, [(fold,) for fold in folds], "fold int")), "fold")
+    return made.repartition(n_splits, "task").groupBy("task").applyInPandas(choose, "fold int, event_id long, y int, raw double, p double, method string, model string, n_train long, naive double, train_t1_max long, t0 long")
 
 
 def fold_diagnostics(predictions: DataFrame, embargo: int = 0) -> DataFrame:
@@ -99,7 +126,7 @@ def cohort_predictions(data: DataFrame, roles: DataFrame, columns: list[str], co
         if min(counts) < LEAST_CLASS:
             return out.iloc[:0]
         c = cohort[int(pdf["nth"].iloc[0])]
-        model = fitted(c.kind, train[columns].to_numpy(), train["y"].to_numpy(), np.ones(len(train)), (train["t0"].to_numpy(), train["t1"].to_numpy()), c.options, seed)
+        model = K.fitted(c.kind, train[columns].to_numpy(), train["y"].to_numpy(), np.ones(len(train)), (train["t0"].to_numpy(), train["t1"].to_numpy()), c.options, seed)
         return out.assign(p=model.predict(pdf[columns].to_numpy()))
 
     return rows.groupBy("fold", "nth").applyInPandas(run, "fold int, strategy string, nth int, event_id long, role string, y double, p double")

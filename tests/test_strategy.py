@@ -1,6 +1,7 @@
 """Recurrences in batches, meta-models, the gate, execution, monitoring and trials."""
 
 import math
+import re
 from datetime import date, datetime
 
 import numpy as np
@@ -193,6 +194,37 @@ def test_meta_models_beat_the_naive_share_out_of_sample(events):
         T.train_meta(events, [])
 
 
+def test_walk_forward_fits_have_tasks_of_their_own(events):
+    columns, options = ["a", "b", "c"], {"n_estimators": 6}
+    made = T.train_meta(events, columns, n_splits=3, inner_splits=2, **options)
+    assert made.select(F.spark_partition_id()).distinct().count() == 3
+    # three folds, two models, two inner folds and the whole
+    assert re.search(r"hashpartitioning\(task#\d+L?, 18\)", made._jdf.queryExecution().toString())
+    got = made.toPandas().sort_values("event_id")
+    horizons = events.select("event_id", "t0", "t1")
+    rows = events.join(C.average_uniqueness(horizons), "event_id").join(C.walk_forward(horizons, 3).select("fold", "event_id", "role"), "event_id").toPandas().sort_values("t0")
+    assert got["event_id"].tolist() == sorted(rows.loc[rows["role"] == "test", "event_id"])
+    for fold, pdf in rows.groupby("fold"):
+        train, test = (pdf[pdf["role"] == role] for role in ("train", "test"))
+        given = (train[columns].to_numpy(), train["y"].to_numpy(float), train["u"].to_numpy(), train["t0"].to_numpy(), train["t1"].to_numpy())
+        both = {name: K.calibrated(name, given, (test[columns].to_numpy(), test["y"].to_numpy(float)), options, 2, int(len(train) * 0.01), int(fold)) for name in ("sequential", "boosted")}
+        name = min(both, key=lambda k: both[k]["brier"])
+        own = got[got["fold"] == fold]
+        assert np.allclose(own["p"], both[name]["p"]) and np.allclose(own["raw"], both[name]["raw"])
+        assert set(own["model"]) == {name} and set(own["method"]) == {both[name]["method"]} and set(own["n_train"]) == {len(train)} and set(own["train_t1_max"]) == {train["t1"].max()}
+    # a fold whose test rows are of one class gives no rows
+    late = T.train_meta(events.withColumn("y", F.when(F.col("event_id") >= 306, 1).otherwise(F.col("y"))), columns, n_splits=3, n_estimators=3)
+    assert {r.fold for r in late.select("fold").distinct().collect()} == {0, 1}
+
+
+def test_trees_that_share_sorted_rows_are_the_same():
+    r = np.random.default_rng(18)
+    x, y, w = np.round(r.standard_normal((300, 4)), 1), r.random(300), r.random(300)
+    for depth in (1, 4, None):
+        a, b = Tree(depth, 5).fit(x, y, w), Tree(depth, 5).fit(x, y, w, trees.sorted_rows(x))
+        assert all((p == q).all() for p, q in zip(a.arrays, b.arrays))
+
+
 def test_the_gate(events):
     cohort = [T.Candidate("deep", "forest", {"n_estimators": 12, "max_depth": 5}), T.Candidate("stump", "forest", {"n_estimators": 12, "max_depth": 1})]
     good = T.validate_strategy(events, ["a", "b", "c"], cohort, n_trials=40, std_of_trials=0.05, n_shuffles=10).first()
